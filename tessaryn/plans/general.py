@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessaryn.operators.moments_dictionary import normalised_moments
+from tessaryn.operators.nested import element_rows
 from tessaryn.sources.tables import table
 
 
@@ -15,5 +16,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("raw_value")
 
 
-QUERIES = {"p3_found": p3_found}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every object that is an element of an array in a payload, tied to the element that it lies in."""
+    return element_rows(table(spark, d, "raw_records"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
 SQL: dict[str, str] = {}
