@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessaryn.operators import drift
 from tessaryn.operators.moments_dictionary import normalised_moments
 from tessaryn.operators.nested import element_rows
+from tessaryn.runtime import written
 from tessaryn.sources.tables import table
 
 
@@ -21,5 +23,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return element_rows(table(spark, d, "raw_records"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each change of a feed's fields from one file to the next."""
+    return drift.changes(table(spark, d, "raw_records"))
+
+
+def p7_lifespans(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue: unbroken runs of each field and type in a feed."""
+    foot = written(drift.footers(table(spark, d, "raw_records")), "footer_rows")
+    return drift.lifespans(drift.fields(foot))
+
+
+def p7_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent column and cast of every field of every feed."""
+    foot = written(drift.footers(table(spark, d, "raw_records")), "footer_rows")
+    found = written(drift.fields(foot), "fields")
+    return drift.alias_table(written(drift.renames(foot, found), "renames"), found)
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_aliases": p7_aliases}
 SQL: dict[str, str] = {}
