@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from tessaryn.llm import copies, survivors
+from pyspark.sql import functions as F
+from tessaryn.llm import copies, names, survivors
 from tessaryn.runtime import written
 from tessaryn.sources.tables import table
 
@@ -15,6 +16,24 @@ def _copy_fields(df: DataFrame) -> list[str]:
     return ["application_id", *sorted(c for c in df.columns if c.startswith("raw_") and c != "raw_load_id")]
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked(
+        table(spark, d, "applications_curated_full"), table(spark, d, "source_systems"), "application_row_id", "raw_applicant_full_name", "raw_applicant_date_of_birth", "raw_applicant_zip_code", "application_id", "raw_source_system"
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of rows of one applicant whose names differ."""
+    return names.variant_pairs(_linked(spark, d))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The applicant of every row with a name, by the smallest row of it."""
+    rows = _linked(spark, d)
+    first = rows.groupBy("entity").agg(F.min("row_id").alias("applicant_row_id"))
+    return rows.join(first, "entity").select("row_id", "applicant_row_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per surplus copy of an application row."""
     app = table(spark, d, "applications_curated_full")
@@ -49,5 +68,5 @@ def p6_edges(spark: SparkSession, d: str) -> DataFrame:
     return survivors.learned_edges(written(_prepared(spark, d), "survivor_rows"), SURVIVOR_FIELDS)
 
 
-QUERIES = {"p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_currency": p6_currency, "p6_edges": p6_edges}
+QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_currency": p6_currency, "p6_edges": p6_edges}
 SQL: dict[str, str] = {}
