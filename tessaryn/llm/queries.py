@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tessaryn.llm import copies, names, survivors
+from tessaryn.llm import copies, mixing, names, survivors, tokens
 from tessaryn.runtime import written
 from tessaryn.sources.tables import table
 
@@ -68,5 +68,35 @@ def p6_edges(spark: SparkSession, d: str) -> DataFrame:
     return survivors.learned_edges(written(_prepared(spark, d), "survivor_rows"), SURVIVOR_FIELDS)
 
 
-QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_currency": p6_currency, "p6_edges": p6_edges}
-SQL: dict[str, str] = {}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text out of its ids again; null texts come back empty."""
+    return tokens.decoded(written(p8_ids(spark, d), "ids"))
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return tokens.token_counts(docs).join(docs.select("doc_id", "source"), "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of a mix that cannot fill their share within the allowed repeats."""
+    return mixing.short_sources(table(spark, d, "mix_targets"), _sizes(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn for every mix, with the slot of the schedule."""
+    return mixing.mixed(table(spark, d, "mix_targets"), written(_sizes(spark, d), "sizes"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of every source."""
+    return mixing.shares(table(spark, d, "mix_targets"), written(_sizes(spark, d), "sizes"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_currency": p6_currency, "p6_edges": p6_edges}
+SQL: dict[str, str] = {"p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
