@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tessaryn.llm import copies, mixing, names, survivors, tokens
+from tessaryn.llm import content, copies, mixing, names, survivors, tokens
 from tessaryn.runtime import written
 from tessaryn.sources.tables import table
 
@@ -98,5 +98,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "mix_targets"), written(_sizes(spark, d), "sizes"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_currency": p6_currency, "p6_edges": p6_edges}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return content.scored(table(spark, d, "documents"), table(spark, d, "content_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are abusive, hateful or sexually explicit themselves."""
+    return p10_scores(spark, d).where(F.col("score") >= content.THRESHOLD).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of such documents by source."""
+    return content.rates(table(spark, d, "documents"), p10_scores(spark, d))
+
+
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_currency": p6_currency, "p6_edges": p6_edges}
 SQL: dict[str, str] = {"p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
