@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessaryn.operators import drift
+from tessaryn.operators import drift, load_profile
 from tessaryn.operators.moments_dictionary import normalised_moments
 from tessaryn.operators.nested import element_rows
 from tessaryn.runtime import written
@@ -18,6 +19,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("raw_value")
 
 
+def p1_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every load and column of the two tables: exact aggregates and how far the classifier tells the load from others."""
+    app = load_profile.profile(
+        table(spark, d, "applications_curated_full"), "applications_curated_full", "raw_load_id", ["clean_debt_to_income", "clean_savings_balance", "clean_credit_history_months"], F.xxhash64("application_row_id")
+    )
+    report = table(spark, d, "data_quality_report")
+    return app.union(load_profile.profile(report, "data_quality_report", "load_id", ["percent"], F.xxhash64("load_id", "stage", "rule_id", "field_path", "value_source", "description")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Loads and columns whose profile is out of line."""
+    return p1_profile(spark, d).where("found").select("table_name", "load_id", "column_name")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every object that is an element of an array in a payload, tied to the element that it lies in."""
     return element_rows(table(spark, d, "raw_records"))
@@ -41,5 +56,5 @@ def p7_aliases(spark: SparkSession, d: str) -> DataFrame:
     return drift.alias_table(written(drift.renames(foot, found), "renames"), found)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_aliases": p7_aliases}
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_aliases": p7_aliases}
 SQL: dict[str, str] = {}
