@@ -28,6 +28,8 @@ LOAD_ROWS, OTHER_ROWS = 300, 900
 #: A column is out of line if the classifier's AUC is at least this, and above the middle of all loads by so many spreads;
 #: or if its missing share, or that of a form of values, is off the middle by this much and so many standard errors.
 MIN_AUC, SPREADS, MIN_MISSING, MIN_FORM, ERRORS = 0.6, 4.5, 0.15, 0.25, 5.0
+#: Or if this share of its values lies beyond the middle load's range by more than half of that range.
+MIN_OUTSIDE, MARGIN = 0.05, 0.5
 
 
 def form_of(v: Column) -> Column:
@@ -143,7 +145,8 @@ def profile(df: DataFrame, table_name: str, load_col: str, columns: list[str], r
 
     Columns: ``table_name``, ``load_id``, ``column_name``, ``n_rows``, ``missing``, ``n_distinct``, ``low``,
     ``high``, ``mean``, ``middle_missing``, ``auc``, ``joint_auc``, ``ablation`` (what the model of all columns
-    loses without this one; null where it is the only one), ``form_shift`` (largest significant change of a form's share, else null), ``found``.
+    loses without this one; null where it is the only one), ``form_shift`` (largest significant change of a form's share, else null), ``outside``
+    (share far out of the middle load's range), ``found``.
     Rows without a load id are left out; a load of nulls only has null aggregates; tied values share
     their cell; an empty table gives no rows. ``row_hash`` spreads rows over folds; equal rows share one.
     """
@@ -173,6 +176,10 @@ def profile(df: DataFrame, table_name: str, load_col: str, columns: list[str], r
     forms = forms.join(usual, ["col", "form"]).withColumn("_off", F.abs(F.col("_p") - F.col("_m")))
     strange = forms.groupBy("load_id", "col").agg(F.max(F.when(F.col("_off") >= ERRORS * _error(F.col("_m"), F.col("n_rows")), F.col("_off"))).alias("form_shift"))
 
+    fence = base.groupBy("col").agg(F.median("low").alias("_low"), F.median("high").alias("_high")).withColumn("_m", MARGIN * (F.col("_high") - F.col("_low")))
+    beyond = (v < F.col("_low") - F.col("_m")) | (v > F.col("_high") + F.col("_m"))
+    outside = values.join(fence, "col").groupBy("load_id", "col").agg((F.sum(F.when(beyond, n).otherwise(0)) / F.sum("n")).alias("outside"))
+
     picks = [f"c{i}" for i in range(len(columns))]
     u = F.abs(F.xxhash64("_hash", F.lit(5))) / F.lit(2.0**63)
     total = int(sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0])
@@ -196,7 +203,7 @@ def profile(df: DataFrame, table_name: str, load_col: str, columns: list[str], r
         return pd.DataFrame({"load_id": load, "col": range(len(columns)), "auc": alone, "joint_auc": joint, "ablation": lost}).astype({"joint_auc": float, "ablation": float})
 
     tested = counts.groupBy("load_id").cogroup(rows.groupBy("load_id")).applyInPandas(judge, "load_id string, col int, auc double, joint_auc double, ablation double")
-    out = written(base.join(tested, ["load_id", "col"]).join(strange, ["load_id", "col"]), "profiles")
+    out = written(base.join(tested, ["load_id", "col"]).join(strange, ["load_id", "col"]).join(outside, ["load_id", "col"]), "profiles")
     middle = out.groupBy("col").agg(F.median("auc").alias("_a"), F.median("missing").alias("middle_missing"))
     out = out.join(middle, "col").withColumn("_dev", F.abs(F.col("auc") - F.col("_a")))
     spread = out.groupBy("col").agg((F.median("_dev") * 1.4826).alias("_s"))
@@ -204,7 +211,8 @@ def profile(df: DataFrame, table_name: str, load_col: str, columns: list[str], r
     by_auc = (F.col("auc") >= MIN_AUC) & (F.col("auc") >= F.col("_a") + SPREADS * F.col("_s"))
     by_missing = (off >= MIN_MISSING) & (off >= ERRORS * _error(F.col("middle_missing"), F.col("n_rows")))
     found = by_auc | by_missing | (F.coalesce("form_shift", F.lit(0.0)) >= MIN_FORM)
+    found = found | ((F.col("outside") >= MIN_OUTSIDE) & (F.col("outside") * F.col("n_rows") >= 2))
     names = F.array(*[F.lit(c) for c in columns])
     return out.join(spread, "col").select(
-        F.lit(table_name).alias("table_name"), "load_id", names[F.col("col")].alias("column_name"), "n_rows", "missing", "n_distinct", "low", "high", "mean", "middle_missing", "auc", "joint_auc", "ablation", "form_shift", found.alias("found")
+        F.lit(table_name).alias("table_name"), "load_id", names[F.col("col")].alias("column_name"), "n_rows", "missing", "n_distinct", "low", "high", "mean", "middle_missing", "auc", "joint_auc", "ablation", "form_shift", "outside", found.alias("found")
     )
