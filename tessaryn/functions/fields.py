@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessaryn.functions.text import blank, strip
 
@@ -60,7 +61,7 @@ def _v4(text: Column) -> Column:
     return o[0] * 16777216 + o[1] * 65536 + o[2] * 256 + o[3]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _private_v6(values: pd.Series) -> pd.Series:
     def one(v: str | None) -> bool:
         try:
