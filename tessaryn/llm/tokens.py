@@ -87,11 +87,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
     table = WordTable(spark, tokenizer, directory).update(counts).read()
     hot = table.where(F.col("n") > total * HOT_SHARE).select("word", "ids")  # at most 1 / HOT_SHARE rows
     rare = table.where(F.col("n") <= total * HOT_SHARE).select("word", "ids")
-    by_word = parts.groupBy("_row", "word").agg(F.collect_list("pos").alias("at"))
-    tagged = by_word.join(F.broadcast(hot.withColumnRenamed("ids", "hot_ids")), "word", "left")
-    common = tagged.where("hot_ids IS NOT NULL").select("_row", "at", F.col("hot_ids").alias("ids"))
-    others = tagged.where("hot_ids IS NULL").select("_row", "word", "at").join(rare, "word").select("_row", "at", "ids")
-    placed = common.union(others).select("_row", F.explode("at").alias("pos"), "ids")
+    common = parts.join(F.broadcast(hot), "word").select("_row", "pos", "ids")
+    others = parts.join(F.broadcast(hot.select("word")), "word", "left_anti").join(rare, "word").select("_row", "pos", "ids")
+    placed = common.union(others)
     whole = placed.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
     return rows.select("_row", id_col).join(whole, "_row", "left").select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
