@@ -21,6 +21,8 @@ from tessaryn.runtime import written
 
 #: Marks in templates: between steps, after a plain object, after an array element.
 STEP, PLAIN, ELEMENT = "\x1f", "\x01", "\x02"
+#: Records nested deeper are read as incomplete ones.
+MAX_DEPTH = 100
 
 
 def _no_constant(_: str):
@@ -47,11 +49,22 @@ def opened(v):
     return v
 
 
+def depth(v) -> int:
+    """Levels of objects and arrays, text parts opened; counting stops beyond ``MAX_DEPTH``."""
+    level, at = [opened(v)], 0
+    while level and at <= MAX_DEPTH:
+        level = [opened(y) for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        at += 1
+    return at
+
+
 def record(text: str | None) -> dict | None:
-    """The record of a payload, or None if it is null, incomplete or no object."""
+    """The record of a payload, or None if it is null, incomplete, no object or nested beyond ``MAX_DEPTH`` levels."""
     v = parse(text)
     v = opened(v) if isinstance(v, str) else v
-    return v if isinstance(v, dict) else None
+    if not isinstance(v, dict) or (text.count("{") + text.count("[") > MAX_DEPTH and depth(v) > MAX_DEPTH):
+        return None
+    return v
 
 
 def clean(s: str) -> str:
@@ -171,7 +184,7 @@ def _path(steps: str) -> F.Column:
 def element_rows(df: DataFrame, id_col: str = "record_id", payload: str = "payload") -> DataFrame:
     """``record_id``, ``parent_path``, ``element_path``: one row per object that is an array element.
 
-    Null, incomplete and non-object payloads have no rows; of equal keys in an object the last counts;
+    Null, incomplete, non-object payloads and those nested beyond ``MAX_DEPTH`` levels have no rows; of equal keys in an object the last counts;
     records sharing an id keep their rows side by side; an empty table gives no rows. Parsed once:
     the objects are written to the shared folder.
     """
