@@ -37,7 +37,7 @@ def _groups(s, d) -> DataFrame:
 def _issues(s, d) -> DataFrame:
     a, i = _apps(s, d), _items(s, d)
     g = duplicates.duplicate_groups(a)
-    return report.quality_report(a, i, "pre", g, v6=False).unionByName(report.quality_report(a, i, "post", g, v6=False))
+    return report.quality_report(a, i, "pre", g).unionByName(report.quality_report(a, i, "post", g))
 
 
 def _deltas(s, d) -> DataFrame:
@@ -114,8 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_applications": _clean_applications,
     "clean_spending": _clean_spending,
     "rule_catalog": lambda s, d: rules.rule_catalog(s),
-    "rule_report_pre": lambda s, d: report.rule_rows(_apps(s, d), rules.application_flags("pre", False), APPLICATION_RULES, "pre"),
-    "rule_report_post": lambda s, d: report.rule_rows(_apps(s, d), rules.application_flags("post", False), APPLICATION_RULES, "post"),
+    "rule_report_pre": lambda s, d: report.rule_rows(_apps(s, d), rules.application_flags("pre"), APPLICATION_RULES, "pre"),
+    "rule_report_post": lambda s, d: report.rule_rows(_apps(s, d), rules.application_flags("post"), APPLICATION_RULES, "post"),
     "quality_report": _issues,
     "issue_group_totals": lambda s, d: report.group_totals(_issues(s, d)),
     "before_after": lambda s, d: report.before_after(_issues(s, d), _groups(s, d)),
@@ -168,7 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flatten_records": lambda s, d: flatten.flatten_applications(_records(s, d), ["notes"]).select("application_row_id", "application_id", "raw_processing_timestamp", "raw_applicant_full_name", "raw_applicant_zip_code", "raw_financial_annual_income", "raw_decision_loan_approved", "raw_notes"),
     "explode_items": lambda s, d: flatten.flatten_spending(_records(s, d)),
     "optional_keys": lambda s, d: s.createDataFrame([(k,) for k in flatten.optional_keys(_records(s, d))], "key string"),
-    "private_ip": lambda s, d: _apps(s, d).groupBy(F.col("raw_applicant_ip_address").alias("address"), private_address(F.col("raw_applicant_ip_address"), False).alias("is_private")).agg(F.count("*").alias("n")),
+    "private_ip": lambda s, d: _apps(s, d).groupBy(F.col("raw_applicant_ip_address").alias("address"), private_address(F.col("raw_applicant_ip_address")).alias("is_private")).agg(F.count("*").alias("n")),
     "age_bands": lambda s, d: _apps(s, d).groupBy(age_band(F.col("clean_date_of_birth")).alias("age_band")).agg(F.count("*").alias("n")),
     "report_extremes": lambda s, d: table(s, d, "data_quality_report").groupBy("stage", "severity").agg(F.count("*").alias("n"), F.count_distinct("load_id").alias("loads"), F.sum("count").alias("issues")),
 }

@@ -162,3 +162,21 @@ def test_stream(spark, tmp_path):
     q = validate_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("rule_id = 'R_APP_004'").first()["count"] == 2
+
+
+def test_registered_queries_judge_both_address_families(spark, tmp_path):
+    import ipaddress
+
+    from tessaryn.plans import reference
+
+    seen = ["2001:db8:30::cd", "fd00::1", "fe80::1", "2a00:1450::1", "10.0.0.1", "8.8.8.8", "1.2.3.4:80", None]
+    want = {}
+    for a in seen:
+        try:
+            want[a] = ipaddress.ip_address(a).is_private
+        except ValueError:
+            want[a] = False
+    apps(spark, *[dict(application_id=f"a{i}", raw_applicant_ip_address=a) for i, a in enumerate(seen)]).write.parquet(str(tmp_path / "applications_curated_full.parquet"))
+    assert {r.address: r.is_private for r in reference.QUERIES["private_ip"](spark, str(tmp_path)).collect()} == want
+    row = reference.QUERIES["rule_report_pre"](spark, str(tmp_path)).where("rule_id = 'R_APP_019'").first()
+    assert (row["count"], row.example_application_ids) == (4, "a0|a1|a2|a4")
