@@ -129,3 +129,31 @@ def test_content(spark):
     assert not [i for i in range(60) if got[i] >= 0.5]
     assert {r.source: r.documents for r in content.rates(docs.drop("score"), scores).collect()} == {"s": 63, None: len(bad)}
     assert content.scored(docs.limit(0), labels).count() == 0
+
+
+def test_hot_block_loses_no_agreeing_names(spark):
+    rows = [(i, [f"gi{chr(97 + a)}{chr(97 + b)}n su{chr(97 + b)}{chr(97 + a)}m"], ["1970-01-01"], ["11111"], True) for i, (a, b) in enumerate((a, b) for a in range(18) for b in range(18))]
+    odd = ["john smith", "j smith", "smith", "jovn snith", "theodore ballard", "theo balard", "ann vandenberg", "annvan denberg", "bo li", "li bo"]
+    rows += [(1000 + i, [n], ["1970-01-01"], ["11111"], True) for i, n in enumerate(odd)] + [(2000 + i, ["john smith"], ["1970-01-01"], ["11111"], True) for i in range(3)]
+    e = spark.createDataFrame(rows, "entity bigint, names array<string>, dates array<string>, zips array<string>, fresh boolean")
+    keyed = e.select(F.lit(1).cast("bigint").alias("key"), "entity", "fresh")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[0] != b[0] and names.name_match(a[1][0].split(), b[1][0].split())}
+    for chunk in (names.CHUNK, 100):
+        names.CHUNK, before = chunk, names.CHUNK
+        got = {tuple(r) for r in names.candidates(keyed, e).collect()}
+        names.CHUNK = before
+        root = {x: 1000 if x >= 2000 else x for r in rows for x in [r[0]]}
+        assert {(min(root[a], root[b]), max(root[a], root[b])) for a, b in want if root[a] != root[b]} <= got and {(1000, 2000), (1000, 2001), (1000, 2002)} <= got
+
+
+def test_name_keys_cover_name_match():
+    rnd, pool = random.Random(3), ["theodore", "ballard", "john", "smith", "bo", "li", "vandenberg", "christopher", "ann", "kit", "barney", "o"]
+    seen = []
+    for _ in range(400):
+        n = rnd.sample(pool, rnd.choice([1, 2, 2, 3]))
+        for _ in range(rnd.randrange(5)):
+            k = rnd.randrange(len(n))
+            w, at = n[k], rnd.randrange(len(n[k]))
+            n[k] = rnd.choice([w[:at] + "x" + w[at:], w[:at] + w[at + 1 :], w[:at] + "q" + w[at + 1 :], w[:at] + w[at + 1 : at + 2] + w[at : at + 1] + w[at + 2 :], w[:1]]) or w
+        seen.append((n, names._name_keys(n)))
+    assert [(a, b) for a, ka in seen for b, kb in seen if names.name_match(a, b) and not ka & kb] == []
