@@ -157,3 +157,20 @@ def test_name_keys_cover_name_match():
             n[k] = rnd.choice([w[:at] + "x" + w[at:], w[:at] + w[at + 1 :], w[:at] + "q" + w[at + 1 :], w[:at] + w[at + 1 : at + 2] + w[at : at + 1] + w[at + 2 :], w[:1]]) or w
         seen.append((n, names._name_keys(n)))
     assert [(a, b) for a, ka in seen for b, kb in seen if names.name_match(a, b) and not ka & kb] == []
+
+
+def test_slipped_dates_and_zips_share_a_key(spark, sources):
+    rnd = random.Random(5)
+    dates = ["1973-01-24", "1973-01-25", "1973-02-01", "1972-12-30", "1973-01-02", "1983-01-24", "1973-03-24", "1974-01-24", "1963-11-24", "1990-03-04", "1990-04-03"]
+    dates += [f"{rnd.randrange(1970, 1974)}-{rnd.randrange(1, 13):02}-{rnd.randrange(1, 29):02}" for _ in range(150)]
+    assert [(a, b) for a in dates for b in dates if names.date_match([a], [b]) == 1 and not names._slipped([a]) & names._slipped([b])] == []
+    zips = ["80396", "80369", "80397", "08396", "80390", None]
+    facts = [(["ravelin", "wexmoor"], d, z) for d in [*dates[:11], None] for z in zips] + [(["bo", "li"], "1973-01-24", z) for z in zips]
+    own = []
+    for n, d, z in facts:
+        x = [n], [d] if d else [], [z] if z else []
+        own.append((x, names._keys(*x), *names._open_keys(*x)))
+    assert [(x, y) for x, k, lack, have in own for y, l, lack_y, have_y in own if names.same(*x, *y) and not (k & l or lack & (lack_y | have_y) or lack_y & have)] == []
+    rows = [(0, "a1", "Ravelin & Wexmoor Electrical", "1973-01-24", None), (1, "a2", "Wexmoor & Ravelin Electrical", "1973-01-25", "80396"), (2, "b1", "Ann Gatwick", "1980-05-05", "10001"), (3, "b2", "Gatwick, Ann", "1980-05-06", "10002"), (4, "c1", "Bo Li", "1960-01-01", "20001"), (5, "c2", "Li, Bo", "1960-01-01", "39999")]
+    df = spark.createDataFrame([(*r, "b") for r in rows], "id bigint, app string, n string, d string, z string, s string")
+    assert sorted(tuple(r) for r in names.variant_pairs(names.linked(df, sources, "id", "n", "d", "z", "app", "s")).collect()) == [(0, 1), (2, 3), (4, 5)]
