@@ -188,21 +188,67 @@ def _changes(foot: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     return come.union(gone).union(typed).union(named).union(both)
 
 
+def _followed(links: DataFrame) -> DataFrame:
+    """``feed_id``, ``column``, ``_to``: where the chain of links from each name ends. Each round doubles what has been
+    followed, until nothing changes."""
+    at = written(links.select("feed_id", F.col("old_path").alias("column"), F.col("new_path").alias("_to")), "followed")
+    for _ in range(at.count().bit_length() + 1):  # more are only needed by a circle
+        step = at.select("feed_id", F.col("column").alias("_to"), F.col("_to").alias("_next"))
+        new = written(at.join(step, ["feed_id", "_to"], "left").select("feed_id", "column", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNotNull().alias("_moved")), "followed")
+        at = new.select("feed_id", "column", "_to")
+        if new.where("_moved").isEmpty():
+            return at
+    raise ValueError("renames form a circle")
+
+
 def alias_table(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """``feed_id``, ``path``, ``column``, ``cast``: the consistent column of each field and the type it is read as.
 
-    Renames are followed to the latest name within a feed (a chain has at most as many links as
-    files). A column is read as number where each field under it is number or boolean in most files
-    and as text otherwise.
+    Renames are followed to the latest name within a feed, however many links a chain has; a name that
+    a later rename brings back has no link, so names that alternate end under the one used last. A column
+    is read as number where each field under it is number or boolean in most files and as text otherwise.
     """
-    feeds = found.select("feed_id", "source_file").distinct()
-    links = pairs.join(feeds, "source_file").groupBy("feed_id", "old_path").agg(F.max_by("new_path", F.col("source_file")).alias("new_path"))
-    links = written(links.where("old_path <> new_path"), "links")
+    feeds = found.select("feed_id", "source_file", "idx").distinct()
+    named = pairs.join(feeds, "source_file").where("old_path <> new_path")
+    links = named.groupBy("feed_id", "old_path").agg(F.max_by("new_path", F.col("idx")).alias("new_path"), F.max("idx").alias("_at"))
+    back = named.groupBy("feed_id", F.col("new_path").alias("old_path")).agg(F.max("idx").alias("_back"))
+    links = written(links.join(back, ["feed_id", "old_path"], "left").where("_back IS NULL OR _back < _at"), "links")
     out = found.select("feed_id", "path").distinct().withColumn("column", F.col("path"))
-    step = links.select("feed_id", F.col("old_path").alias("column"), F.col("new_path").alias("_to"))
-    for _ in range(4):  # names that alternate would never end
-        out = out.join(step, ["feed_id", "column"], "left").select("feed_id", "path", F.coalesce("_to", "column").alias("column"))
+    out = out.join(_followed(links), ["feed_id", "column"], "left").select("feed_id", "path", F.coalesce("_to", "column").alias("column"))
     votes = found.groupBy("feed_id", "path").agg(F.avg(F.col("kind").isin("number", "boolean").cast("double")).alias("_share"))
     w = W.partitionBy("column")
     out = out.join(votes, ["feed_id", "path"]).withColumn("_least", F.min("_share").over(w))
     return out.select("feed_id", "path", "column", F.when(F.col("_least") > 0.5, "double").otherwise("string").alias("cast"))
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every plain value that is not null with its template and ordinals."""
+    schema = pa.schema([("feed_id", pa.string()), ("source_file", pa.string()), ("record_id", pa.int64()), ("template", pa.string()), ("ords", pa.list_(pa.int32())), ("leaf", pa.string()), ("value", pa.string())])
+    for b in batches:
+        rows: list[tuple] = []
+        for feed, file, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            root = record(text)
+            for t, ords, o in objects(root) if root is not None else ():
+                rows += [(feed, file, i, clean(t), ords, clean(k), text_of(v)) for k, _, v in plain_values(o)]
+        cols = list(zip(*rows, strict=True)) or [[] for _ in schema]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def consistent(df: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``feed_id``, ``source_file``, ``record_id``, ``ords``, ``path``, ``column``, ``text``, ``number``: every plain value of all
+    payloads under its consistent column.
+
+    One table for all files: one row per value, because each object of an array has its own (``ords``
+    has a position per step of ``path``). A column that is read as number has its values in ``number``
+    (booleans 1 and 0), and ``text`` keeps what is none; other columns have them in ``text``.
+    """
+    raw = df.select("feed_id", "source_file", F.col("record_id").cast("bigint"), "payload")
+    rows = written(raw.mapInArrow(_values, "feed_id string, source_file string, record_id bigint, template string, ords array<int>, leaf string, value string"), "plain_values")
+    known = layouts(rows).select("template", "generic")
+    generic = F.coalesce("generic", F.lit(""))
+    rows = rows.join(known, "template", "left").withColumn("path", F.when(generic == "", F.col("leaf")).otherwise(F.concat_ws(".", "generic", "leaf")))
+    rows = rows.join(aliases, (rows["feed_id"].eqNullSafe(aliases["feed_id"])) & (rows["path"] == aliases["path"]), "left").drop(aliases["feed_id"]).drop(aliases["path"])
+    low = F.lower(F.trim("value"))
+    as_number = F.when(low == "true", 1.0).when(low == "false", 0.0).when(low.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), low.try_cast("double"))
+    number = F.when(F.col("cast") == "double", as_number)
+    return rows.select("feed_id", "source_file", "record_id", "ords", "path", F.coalesce("column", "path").alias("column"), F.when(number.isNull(), F.col("value")).alias("text"), number.alias("number"))

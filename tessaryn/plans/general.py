@@ -56,5 +56,10 @@ def p7_aliases(spark: SparkSession, d: str) -> DataFrame:
     return drift.alias_table(written(drift.renames(foot, found), "renames"), found)
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_aliases": p7_aliases}
+def p7_table(spark: SparkSession, d: str) -> DataFrame:
+    """The values of all payloads in one consistent table."""
+    return drift.consistent(table(spark, d, "raw_records"), written(p7_aliases(spark, d), "aliases"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_aliases": p7_aliases, "p7_table": p7_table}
 SQL: dict[str, str] = {}

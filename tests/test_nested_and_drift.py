@@ -78,3 +78,16 @@ def test_alias_and_lifespans(spark):
 
 def test_names():
     assert drift.name_likeness("f.debt_to_income", "f.dti") > 0.9 > drift.name_likeness("f.annual_income", "f.yearly_income") > drift.name_likeness("f.annual_income", "f.bureau_score")
+
+
+def test_aliases_follow_every_rename_and_give_one_table(spark):
+    name = [f"f{i}" for i in range(9)]
+    found = spark.createDataFrame([("x", f"file{i:02}", n, "number", i, 9) for i, n in enumerate(name, 1)] + [("y", f"y{i}", n, "string", i, 4) for i, n in enumerate("abac", 1)], "feed_id string, source_file string, path string, kind string, idx int, last_idx int")
+    hops = [(f"file{i + 2:02}", name[i], name[i + 1]) for i in range(8)] + [("y2", "a", "b"), ("y3", "b", "a")]
+    pairs = spark.createDataFrame(hops, "source_file string, old_path string, new_path string")
+    got = {(r.feed_id, r.path): (r.column, r.cast) for r in drift.alias_table(pairs, found).collect()}
+    assert {got["x", n] for n in name} == {("f8", "double")} and (got["y", "a"][0], got["y", "b"][0], got["y", "c"][0]) == ("a", "a", "c")
+    df = feed(spark, [[{"f0": 1, "p": [{"q": True}, {"q": None}]}], [{"f5": "2.5"}], [{"f8": "none"}]])
+    one = df.select("feed_id").first()[0]
+    known = spark.createDataFrame([(one, n, "f8", "double") for n in name] + [(one, "p[].q", "p[].flag", "double")], "feed_id string, path string, column string, cast string")
+    assert sorted((r.column, r.path, list(r.ords), r.number, r.text) for r in drift.consistent(df, known).collect()) == [("f8", "f0", [], 1.0, None), ("f8", "f5", [], 2.5, None), ("f8", "f8", [], None, "none"), ("p[].flag", "p[].q", [0], 1.0, None)]
