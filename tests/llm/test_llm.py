@@ -174,3 +174,18 @@ def test_slipped_dates_and_zips_share_a_key(spark, sources):
     rows = [(0, "a1", "Ravelin & Wexmoor Electrical", "1973-01-24", None), (1, "a2", "Wexmoor & Ravelin Electrical", "1973-01-25", "80396"), (2, "b1", "Ann Gatwick", "1980-05-05", "10001"), (3, "b2", "Gatwick, Ann", "1980-05-06", "10002"), (4, "c1", "Bo Li", "1960-01-01", "20001"), (5, "c2", "Li, Bo", "1960-01-01", "39999")]
     df = spark.createDataFrame([(*r, "b") for r in rows], "id bigint, app string, n string, d string, z string, s string")
     assert sorted(tuple(r) for r in names.variant_pairs(names.linked(df, sources, "id", "n", "d", "z", "app", "s")).collect()) == [(0, 1), (2, 3), (4, 5)]
+
+
+def test_merging_goes_on_until_nothing_merges(spark):
+    own = ["theodore ballard", "mikhail vostrikov", "agnes pemberwick", "yusuf kandoro", "bridget lonnegan", "fabrice duchamp", "wanjiru oketch", "sigrid halvorsen", "paolo zamboni", "hazel quimby", "ruben castellon"]
+    other = ["cuthbert inglemoss", "nadia prokhorov", "ezekiel tumbler", "gwyneth brackley", "osvald jurgens", "lucrezia fontane", "duncan mcswain", "xiomara velez", "ignatz hofbauer"]
+    day = lambda i: f"{1900 + 3 * i}-{1 + i % 12:02}-{1 + (5 * i) % 28:02}"
+    rows = []
+    for k in range(9):
+        rows += [(f"g{k}", own[k], day(k), None), (f"g{k}", own[k + 1], day(20 + k), None), (f"g{k}", other[k], day(k + 2), None)] + ([("g0", own[0], day(1), None)] if k == 0 else [])
+    rows += [("u", "john smith", None, "11111"), ("u", "maria jones", None, "22222"), ("d1", "john smith", "1990-12-31", "11111"), ("d2", "maria jones", "1990-12-31", "33333")]
+    prof = spark.createDataFrame([(i, n, d, z, g) for i, (g, n, d, z) in enumerate(rows)], "profile bigint, name string, date string, zip string, group_key string")
+    got = {r.profile: r.entity for r in names.resolve(prof).collect()}
+    assert {got[i] for i in range(len(rows) - 4)} == {0} and len({got[i] for i in range(len(rows) - 4, len(rows))}) == 1
+    with pytest.raises(RuntimeError, match="still merge"):
+        names.resolve(prof, 1)
