@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from tessaryn.functions.fields import AGE_BANDS, PRIVATE_V4
 from tessaryn.operators import rules
 from tessaryn.operators.duplicates import LATEST, NO_TIME, TIE
@@ -70,9 +72,12 @@ def rank(x: str) -> str:
     return "(CASE " + " ".join(f"WHEN {x} = {q(b)} THEN {i}" for i, b in enumerate(AGE_BANDS)) + " END)"
 
 
-def private_v4(x: str) -> str:
-    import ipaddress
+# The IPv6 ranges that are private or reserved, and the ranges in them that are not.
+PRIVATE_V6 = ["::1/128", "::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10"]
+PUBLIC_V6 = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
+
 
+def private_v4(x: str) -> str:
     s, octet = strip(x), r"(0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
     n = "(" + " + ".join(f"CAST(split_part({s}, '.', {i}) AS BIGINT) * {256 ** (4 - i)}" for i in (1, 2, 3, 4)) + ")"
     nets = [ipaddress.ip_network(b) for b in PRIVATE_V4]
@@ -80,6 +85,21 @@ def private_v4(x: str) -> str:
     return f"(CASE WHEN {x} IS NULL THEN false WHEN regexp_matches({s}, '^{octet}(\\.{octet}){{3}}$') THEN ({inside}) ELSE false END)"
 
 
+def private_v6(x: str) -> str:
+    """Addresses of hexadecimal groups: written out to 32 digits and held against the ranges."""
+    s = f"lower({strip(x)})"
+    side = lambda i: f"list_filter(string_split(split_part({s}, '::', {i}), ':'), lambda g: g <> '')"
+    full = f"array_to_string(list_transform(list_concat(list_concat({side(1)}, list_transform(range(8 - len({side(1)}) - len({side(2)})), lambda z: '0')), {side(2)}), lambda g: lpad(g, 4, '0')), '')"
+    groups = f"(len({side(1)}) + len({side(2)}))"
+    ok = f"regexp_matches({s}, '^([0-9a-f]{{1,4}}(:[0-9a-f]{{1,4}})*)?(::)?([0-9a-f]{{1,4}}(:[0-9a-f]{{1,4}})*)?$') AND (CASE WHEN contains({s}, '::') THEN {groups} <= 7 ELSE {groups} = 8 END)"
+    within = lambda blocks: " OR ".join(f"{full} BETWEEN '{int(b[0]):032x}' AND '{int(b[-1]):032x}'" for b in map(ipaddress.ip_network, blocks))
+    return f"(CASE WHEN {ok} THEN ({within(PRIVATE_V6)}) AND NOT ({within(PUBLIC_V6)}) ELSE false END)"
+
+
+def private_address(x: str) -> str:
+    return f"(CASE WHEN contains(coalesce({x}, ''), ':') THEN {private_v6(x)} ELSE {private_v4(x)} END)"
+
+
 def flag_sql(stage: str) -> dict[str, str]:
     raw, clean, pre = (lambda c: f"raw_{c}"), (lambda c: f"clean_{c}"), stage == "pre"
     email = raw("applicant_email") if pre else clean("email")
@@ -112,7 +132,7 @@ def flag_sql(stage: str) -> dict[str, str]:
         "rejected_missing_reason": f"NOT {ok} AND {blank(raw('decision_rejection_reason'))}" if pre else "rejected_missing_reason_flag",
         "approved_credit_history_zero": f"{ok} AND {months} = 0",
         "approved_credit_history_lt6": f"{ok} AND {months} < 6",
-        "private_ip_address": private_v4(raw("applicant_ip_address")),
+        "private_ip_address": private_address(raw("applicant_ip_address")),
     }
 
 
@@ -122,28 +142,31 @@ def spending_flag_sql(stage: str) -> dict[str, str]:
     return {"spending_missing_category": blank("raw_category"), "spending_amount_non_numeric": f"{some('raw_amount')} AND {number('raw_amount')} IS NULL", "spending_amount_negative": f"{number('raw_amount')} < 0"}
 
 
-def rule_rows_sql(stage: str, table: str, flags: dict[str, str], which: list[rules.Rule]) -> str:
+def rule_rows_sql(stage: str, table: str, which: list[rules.Rule]) -> str:
+    """One row per rule with issues, out of the single row of ``_c_{stage}_{table}``."""
     out = []
     for r in which:
-        f = f"_f.{r.flag}"
+        count = f"{r.flag}_n"
         out.append(
-            f"SELECT {q(stage)} AS stage, {q(r.issue_group)} AS issue_group, {q(r.rule_id)} AS rule_id, {q(r.field_path)} AS field_path, {q(r.description)} AS description, count(*) FILTER ({f}) AS \"count\", "
-            f"{percent(f'count(*) FILTER ({f})', 'count(*)')} AS percent, {q(r.severity)} AS severity, "
-            f"coalesce((SELECT string_agg(i, '|' ORDER BY i) FROM (SELECT DISTINCT application_id AS i FROM _f_{stage}_{table} _f WHERE {f} AND application_id IS NOT NULL ORDER BY i LIMIT 5)), '') AS example_application_ids, "
-            f"{q(r.source_pre if stage == 'pre' else r.source_post)} AS value_source FROM _f_{stage}_{table} _f HAVING count(*) FILTER ({f}) > 0"
+            f"SELECT {q(stage)} AS stage, {q(r.issue_group)} AS issue_group, {q(r.rule_id)} AS rule_id, {q(r.field_path)} AS field_path, {q(r.description)} AS description, {count} AS \"count\", "
+            f"{percent(count, 'total')} AS percent, {q(r.severity)} AS severity, coalesce(array_to_string(list_slice({r.flag}_ids, 1, 5), '|'), '') AS example_application_ids, "
+            f"{q(r.source_pre if stage == 'pre' else r.source_post)} AS value_source FROM _c_{stage}_{table} WHERE {count} > 0"
         )
     return " UNION ALL ".join(out)
 
 
 def flags_cte(stage: str, table: str, flags: dict[str, str]) -> str:
-    return f"_f_{stage}_{table} AS MATERIALIZED (SELECT application_id, " + ", ".join(f"{yes(f'({e})')} AS {n}" for n, e in flags.items()) + f" FROM {table})"
+    """Flags of every row; then counts and flagged ids of all rules in one pass."""
+    rows = "SELECT application_id, " + ", ".join(f"{yes(f'({e})')} AS {n}" for n, e in flags.items()) + f" FROM {table}"
+    each = ", ".join(f"count(*) FILTER ({n}) AS {n}_n, list_sort(list(DISTINCT application_id) FILTER ({n} AND application_id IS NOT NULL)) AS {n}_ids" for n in flags)
+    return f"_c_{stage}_{table} AS MATERIALIZED (SELECT count(*) AS total, {each} FROM ({rows}))"
 
 
 _RAW = ["raw_processing_timestamp", "raw_applicant_full_name", "raw_applicant_email", "raw_applicant_ssn", "raw_applicant_ip_address", "raw_applicant_gender", "raw_applicant_date_of_birth", "raw_applicant_zip_code", "raw_financial_annual_income", "raw_financial_annual_salary", "raw_financial_credit_history_months", "raw_financial_debt_to_income", "raw_financial_savings_balance", "raw_decision_loan_approved", "raw_decision_interest_rate", "raw_decision_approved_amount", "raw_decision_rejection_reason", "raw_load_id", "raw_notes", "raw_source_system"]
 _CORE = [c for c in _RAW if c not in ("raw_processing_timestamp", "raw_notes")]
 GROUPS = f"""_t AS (SELECT application_id, application_row_id, {iso_instant('raw_processing_timestamp')} AS t, {{pack_all}} AS pa, {{pack_core}} AS pc FROM {APPS}),
 _l AS (SELECT *, max(t) OVER (PARTITION BY application_id) AS latest FROM _t),
-groups AS (SELECT application_id, count(*) AS dup_count,
+groups AS MATERIALIZED (SELECT application_id, count(*) AS dup_count,
  CASE WHEN count(*) = 1 THEN 'unique' WHEN count(DISTINCT pa) = 1 THEN 'exact' WHEN count(DISTINCT pc) = 1 OR max(t) IS NOT NULL THEN 'versioned' ELSE 'conflict' END AS classification,
  coalesce(max(application_row_id) FILTER (t = latest), max(application_row_id)) AS canonical_row_id,
  CASE WHEN max(t) IS NULL THEN {q(NO_TIME)} WHEN count(*) FILTER (t = latest) > 1 THEN {q(TIE)} ELSE {q(LATEST)} END AS canonical_reason
@@ -158,7 +181,7 @@ _e AS (SELECT application_id, array_to_string(list_slice(arg_min(d, rid), 1, 5),
 dup_report AS (SELECT g.*, coalesce(e.example_differences, '') AS example_differences FROM groups g LEFT JOIN _e e ON e.application_id IS NOT DISTINCT FROM g.application_id WHERE g.dup_count > 1)"""
 
 _ssn = strip("raw_applicant_ssn")
-NUMBERS = f"numbers AS (SELECT {_ssn} AS number, count(*) AS n_rows, count(DISTINCT application_id) AS n_ids FROM {APPS} WHERE {some('raw_applicant_ssn')} GROUP BY 1 HAVING count(*) > 1)"
+NUMBERS = f"numbers AS MATERIALIZED (SELECT {_ssn} AS number, count(*) AS n_rows, count(DISTINCT application_id) AS n_ids FROM {APPS} WHERE {some('raw_applicant_ssn')} GROUP BY 1 HAVING count(*) > 1)"
 
 
 def duplicate_rows_sql(stage: str) -> str:
@@ -185,7 +208,7 @@ def stage_ctes(*stages: str) -> str:
 
 
 def stage_rows(stage: str) -> str:
-    return " UNION ALL ".join([rule_rows_sql(stage, APPS, {}, rules.APPLICATION_RULES), duplicate_rows_sql(stage), rule_rows_sql(stage, ITEMS, {}, rules.SPENDING_RULES)])
+    return " UNION ALL ".join([rule_rows_sql(stage, APPS, rules.APPLICATION_RULES), duplicate_rows_sql(stage), rule_rows_sql(stage, ITEMS, rules.SPENDING_RULES)])
 
 
 ISSUES = f"WITH {GROUPS}, {NUMBERS}, {stage_ctes('pre', 'post')}, issues AS MATERIALIZED ({stage_rows('pre')} UNION ALL {stage_rows('post')})"
@@ -259,8 +282,8 @@ SQL = {
     "clean_spending": f"""SELECT application_row_id, spending_index, raw_category, raw_amount, list_aggregate(list_transform(regexp_extract_all(lower({_cat}), '\\P{{L}}|\\p{{L}}+'), lambda x: upper(left(x, 1)) || substr(x, 2)), 'string_agg', '') AS category_clean, {_cat} IS NULL AS category_missing_flag, {some('raw_amount')} AND {number('raw_amount')} IS NULL AS amount_invalid_flag,
  {yes(f"{number('raw_amount')} < 0")} AS amount_negative_flag, CASE WHEN {number('raw_amount')} >= 0 THEN {number('raw_amount')} END AS amount_clean FROM {ITEMS}""",
     "rule_catalog": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rules.catalog_rows()) + ") t(stage, rule_id, issue_group, field_path, field_path_annotated, value_source, severity, description)",
-    "rule_report_pre": f"WITH {flags_cte('pre', APPS, flag_sql('pre'))} {rule_rows_sql('pre', APPS, {}, rules.APPLICATION_RULES)}",
-    "rule_report_post": f"WITH {flags_cte('post', APPS, flag_sql('post'))} {rule_rows_sql('post', APPS, {}, rules.APPLICATION_RULES)}",
+    "rule_report_pre": f"WITH {flags_cte('pre', APPS, flag_sql('pre'))} {rule_rows_sql('pre', APPS, rules.APPLICATION_RULES)}",
+    "rule_report_post": f"WITH {flags_cte('post', APPS, flag_sql('post'))} {rule_rows_sql('post', APPS, rules.APPLICATION_RULES)}",
     "quality_report": f"{ISSUES} SELECT * FROM issues",
     "issue_group_totals": f'{ISSUES} SELECT stage, issue_group, CAST(sum("count") AS BIGINT) AS issues FROM issues GROUP BY 1, 2',
     "before_after": f"""{ISSUES}, m AS (SELECT * FROM (VALUES {', '.join(f"({q(r)}, {q(t)})" for r, t in METRICS)}) t(rule_id, metric_label)), x AS (SELECT coalesce(a.issue_group, b.issue_group, '') AS issue_group, m.rule_id, m.metric_label, coalesce(a."count", 0) AS pre_count, coalesce(b."count", 0) AS post_count, coalesce(a.percent, 0.0) AS pre_percent, coalesce(b.percent, 0.0) AS post_percent FROM m LEFT JOIN issues a ON a.rule_id = m.rule_id AND a.stage = 'pre' LEFT JOIN issues b ON b.rule_id = m.rule_id AND b.stage = 'post'
@@ -308,7 +331,7 @@ SQL = {
     "flatten_records": f"SELECT record_id AS application_row_id, p->>'$._id' AS application_id, p->>'$.processing_timestamp' AS raw_processing_timestamp, p->>'$.applicant_info.full_name' AS raw_applicant_full_name, p->>'$.applicant_info.zip_code' AS raw_applicant_zip_code, p->>'$.financials.annual_income' AS raw_financial_annual_income, p->>'$.decision.loan_approved' AS raw_decision_loan_approved, p->>'$.notes' AS raw_notes FROM {_OBJ}",
     "explode_items": f"SELECT application_row_id, application_id, spending_index, i->>'$.category' AS raw_category, i->>'$.amount' AS raw_amount FROM (SELECT record_id AS application_row_id, p->>'$._id' AS application_id, CAST(unnest(range(CAST(json_array_length(p->'$.spending_behavior') AS BIGINT))) AS INT) AS spending_index, unnest(CAST(p->'$.spending_behavior' AS JSON[])) AS i FROM {_OBJ} WHERE json_type(p->'$.spending_behavior') = 'ARRAY') WHERE json_type(i) = 'OBJECT'",
     "optional_keys": f"SELECT DISTINCT k AS key FROM (SELECT unnest(json_keys(p)) AS k FROM {_OBJ}) WHERE k NOT IN ('_id','processing_timestamp','applicant_info','financials','decision','spending_behavior')",
-    "private_ip": f"SELECT raw_applicant_ip_address AS address, {private_v4('raw_applicant_ip_address')} AS is_private, count(*) AS n FROM {APPS} GROUP BY 1, 2",
+    "private_ip": f"SELECT raw_applicant_ip_address AS address, {private_address('raw_applicant_ip_address')} AS is_private, count(*) AS n FROM {APPS} GROUP BY 1, 2",
     "age_bands": f"SELECT {band('clean_date_of_birth')} AS age_band, count(*) AS n FROM {APPS} GROUP BY 1",
     "report_extremes": 'SELECT stage, severity, count(*) AS n, count(DISTINCT load_id) AS loads, CAST(sum("count") AS BIGINT) AS issues FROM data_quality_report GROUP BY 1, 2',
 }

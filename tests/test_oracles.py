@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessaryn.plans import general, reference
@@ -13,7 +14,7 @@ DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def shown(df):
     def one(x):
-        if x is None or x != x:
+        if x is None or (pd.api.types.is_scalar(x) and pd.isna(x)):
             return "NULL"
         if isinstance(x, float) or "float" in str(type(x)):
             return f"{float(x):.9g}"
