@@ -107,12 +107,13 @@ def with_date(df: DataFrame, out: str, raw: Column, day_order: Column, reference
         short = day.rlike(r"^\d\d-")
         return [F.when(~short, day.try_cast("date")), *[F.when(short, adult(c, i)) for c in ("19", "20")]]
 
+    plain = raw.rlike(r"^\d{4}-\d{2}-\d{2}\z")  # most values: one reading, nothing to rewrite
     return _staged(
         df,
-        {"_p": _rewritten(strip(raw), _DATE_FORMS)},
+        {"_p": F.when(~plain, _rewritten(strip(raw), _DATE_FORMS))},
         {"_d": F.when(p.isNotNull(), _days(p, day_order))},
         {"_c": F.when(d.isNotNull(), F.array(*at(0), *[F.when(F.size(d) > 1, x) for x in at(1)]))},
-        {out: _only(F.col("_c"))},
+        {out: F.when(plain, raw.try_cast("date")).otherwise(_only(F.col("_c")))},
     ).drop("_p", "_d", "_c")
 
 

@@ -31,9 +31,14 @@ def bare(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[\s\p{Z}\p{P}\p{S}\p{C}]+", "")
 
 
+def missing_bare(c: Column) -> Column:
+    """``missing`` of a value that is in bare form already."""
+    return c.isNull() | c.isin(PLACEHOLDERS)
+
+
 def missing(c: Column) -> Column:
     """True for null, blank or a placeholder for a missing value; never null."""
-    return c.isNull() | bare(c).isin(PLACEHOLDERS)
+    return missing_bare(bare(c))
 
 
 def nullif_blank(c: Column, lower: bool = False) -> Column:
