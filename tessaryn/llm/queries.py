@@ -16,15 +16,14 @@ def _copy_fields(df: DataFrame) -> list[str]:
     return ["application_id", *sorted(c for c in df.columns if c.startswith("raw_") and c != "raw_load_id")]
 
 
-def _linked(spark: SparkSession, d: str) -> DataFrame:
-    return names.linked(
-        table(spark, d, "applications_curated_full"), table(spark, d, "source_systems"), "application_row_id", "raw_applicant_full_name", "raw_applicant_date_of_birth", "raw_applicant_zip_code", "application_id", "raw_source_system"
-    )
+def _linked(spark: SparkSession, d: str, alone: bool = True) -> DataFrame:
+    apps, fields = table(spark, d, "applications_curated_full"), ["raw_applicant_full_name", "raw_applicant_date_of_birth", "raw_applicant_zip_code"]
+    return names.linked(apps, table(spark, d, "source_systems"), "application_row_id", *fields, "application_id", "raw_source_system", alone=alone)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of rows of one applicant whose names differ."""
-    return names.variant_pairs(_linked(spark, d))
+    return names.variant_pairs(_linked(spark, d, alone=False))
 
 
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
