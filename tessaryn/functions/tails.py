@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
-from functools import lru_cache
 
 
 def normal_two_sided(z: float) -> float:
@@ -62,14 +61,16 @@ def t_two_sided(t: float, dof: float) -> float:
     return _beta(dof / 2, 0.5, dof / (dof + t * t))
 
 
-@lru_cache(maxsize=None)
-def _ways(m: int, n: int, u: int) -> int:
-    """Orders of m and n values in which the first sample's U is u."""
-    if u < 0 or u > m * n:
-        return 0
-    if m == 0 or n == 0:
-        return int(u == 0)
-    return _ways(m - 1, n, u - n) + _ways(m, n - 1, u)
+def _orders(m: int, n: int) -> list[int]:
+    """For each U from 0 to m n the number of orders of m and n values that have it: the coefficients of the product
+    of (1 - q^(n+i)) / (1 - q^i) over i up to m, filled in one pass per factor."""
+    ways = [1] + [0] * (m * n)
+    for i in range(1, m + 1):
+        for u in range(m * n, n + i - 1, -1):
+            ways[u] -= ways[u - n - i]
+        for u in range(i, m * n + 1):
+            ways[u] += ways[u - i]
+    return ways
 
 
 def mann_whitney_p(u: float, n1: int, n2: int, ties: float) -> float:
@@ -80,7 +81,7 @@ def mann_whitney_p(u: float, n1: int, n2: int, ties: float) -> float:
     top = max(u, n1 * n2 - u)
     if ties == 0 and min(n1, n2) <= 8:
         k = math.ceil(top)
-        tail = sum(_ways(n1, n2, i) for i in range(k, n1 * n2 + 1))
+        tail = sum(_orders(min(n1, n2), max(n1, n2))[k:])
         return min(1.0, float(Fraction(2 * tail, math.comb(n1 + n2, n1))))
     n = n1 + n2
     var = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))

@@ -47,10 +47,18 @@ def duplicate_summary(report: DataFrame) -> DataFrame:
     return report.agg(F.count("*").alias("n_ids"), *[F.count_if(F.col("classification") == k).alias(f"n_{k}") for k in ("exact", "versioned", "conflict")], F.array_join(F.array_sort(F.collect_set("classification")), "|").alias("classes"))
 
 
-def evidence_card(report: DataFrame, n: int = 3) -> DataFrame:
-    """Text lines on the duplicates that stand for the most rows (V8)."""
-    line = F.format_string("%s: %s rows, %s, canonical row %s, differs in %s", F.coalesce("application_id", F.lit("no id")), F.col("dup_count").cast("string"), "classification", F.col("canonical_row_id").cast("string"), F.coalesce(F.nullif("example_differences", F.lit("")), F.lit("nothing")))
-    return report.orderBy(F.desc("dup_count"), "application_id").limit(n).select(shortened(line).alias("line"))
+def evidence_card(report: DataFrame) -> DataFrame:
+    """``part``, ``line``: the lines of the card on duplicated ids: totals, reasons of choice, note, and one example for each id (V8)."""
+    one = report.agg(F.count("*").alias("n"), *[F.count_if(F.col("classification") == k).alias(k) for k in ("conflict", "versioned")], F.array_join(F.array_sort(F.collect_set("canonical_reason")), ", ").alias("why"))
+    lines = [
+        ("total", F.concat(F.lit("Total duplicated application_ids: "), F.col("n").cast("string"))),
+        ("classes", F.concat(F.lit("Conflict duplicates: "), F.col("conflict").cast("string"), F.lit("   |   Versioned duplicates: "), F.col("versioned").cast("string"))),
+        ("rule", F.concat(F.lit("Canonical selection rule observed: "), F.coalesce(F.nullif("why", F.lit("")), F.lit("n/a")))),
+        ("note", F.lit("Governance note: fallback selection indicates a provenance/auditability gap (missing/unparseable timestamps).")),
+    ]
+    head = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("part"), v.alias("line")) for k, v in lines])).alias("x")).select("x.*")
+    example = F.concat(F.coalesce("application_id", F.lit("None")), F.lit(": "), F.col("classification"), F.lit(" | diffs: "), shortened(strip(F.coalesce("example_differences", F.lit("")))))
+    return head.union(report.select(F.lit("example").alias("part"), example.alias("line")))
 
 
 def provenance_bars(profiles: DataFrame) -> DataFrame:

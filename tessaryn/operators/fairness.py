@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessaryn.functions import tails
 from tessaryn.functions.fields import AGE_BANDS, band_rank
+from tessaryn.runtime import written
 
 FOUR_FIFTHS, PRIME = 0.8, "25-34"
 FEATURES = ["clean_annual_income", "clean_credit_history_months", "clean_debt_to_income", "clean_savings_balance"]
@@ -85,18 +86,35 @@ def chi2_test(df: DataFrame, group: str, outcome: str = "approved") -> DataFrame
 def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """``by``, ``value``, ``t`` (how often), ``rank``: average ranks from distinct values' counts.
 
-    Running sums are taken in 1024 ranges of the values and over the ranges, so no window holds all values.
+    Running sums are taken in 256 ranges of the values and over the ranges, so no window holds all values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("t"))
     at = [i / 256 for i in range(1, 256)]
     cut = counts.groupBy(*by).agg(F.percentile_approx("v", at, 1000).alias("_cuts"))
-    counts = counts.join(cut, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("v")))).drop("_cuts") if by else counts.withColumn("_b", F.lit(0))
+    counts = counts.join(cut, by) if by else counts.join(F.broadcast(cut))  # one row
+    counts = counts.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("v")))).drop("_cuts")
     sums = counts.groupBy(*by, "_b").agg(F.sum("t").alias("_s"))
     sums = sums.select(*by, "_b", (F.sum("_s").over(W.partitionBy(*by).orderBy("_b")) - F.col("_s")).alias("_before"))
     inside = F.sum("t").over(W.partitionBy(*by, "_b").orderBy("v")) - F.col("t")
     return counts.withColumn("_in", inside).join(sums, [*by, "_b"]).select(*by, "v", "t", (F.col("_before") + F.col("_in") + (F.col("t") + 1) / 2).alias("rank"))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """``by`` and one interpolated quantile for each entry of ``at``, exact, from ranks of distinct values: no task holds a group's values."""
+    ranks = value_ranks(df, by, value)
+    first, last = F.col("rank") - (F.col("t") - 1) / 2, F.col("rank") + (F.col("t") - 1) / 2
+    size = ranks.groupBy(*by).agg(F.sum("t").alias("_n"))
+    r = ranks.join(size, by) if by else ranks.join(F.broadcast(size))  # one row
+    out = []
+    for name, p in at.items():
+        place = (F.col("_n") - 1) * p + 1
+        low, high = F.floor(place), F.ceil(place)
+        pick = lambda k: F.max(F.when((first <= k) & (last >= k), F.col("v")))
+        out += [pick(low).alias(f"_l{name}"), pick(high).alias(f"_h{name}"), F.max(place - low).alias(f"_w{name}")]
+    g = r.groupBy(*by).agg(*out)
+    return g.select(*by, *[(F.col(f"_l{n}") * (1 - F.col(f"_w{n}")) + F.col(f"_h{n}") * F.col(f"_w{n}")).alias(n) for n in at])
+
+
 def mann_whitney_statistics(df: DataFrame, features: list[str], group: str = "clean_gender", first: str = "Male", second: str = "Female") -> DataFrame:
     """``feature``, ``n1``, ``n2``, ``u_stat`` (of the first group), ``ties``: all features in one ranked pass."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
@@ -112,13 +130,14 @@ def proxy_table(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     """Mann-Whitney tests and exact medians of financial features between men and women (ST5)."""
     g = gender_subset(df)
     stat = {r.feature: r for r in mann_whitney_statistics(g, features).collect()}  # one row per feature
-    mid = g.agg(*[F.median(F.when(F.col("clean_gender") == s, F.col(f))).alias(f"{s}_{f}") for f in features for s in ("Male", "Female")]).first()
+    long = g.select("clean_gender", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("x")).select("clean_gender", "x.*")
+    mid = {f"{r.clean_gender}_{r.feature}": r.median for r in quantiles(long, ["clean_gender", "feature"], "value", {"median": 0.5}).collect()}  # two rows per feature
     rows = []
     for f in features:
         r, p = stat.get(f), None
         if r and r.n1 >= 2 and r.n2 >= 2:
             p = tails.mann_whitney_p(r.u_stat, r.n1, r.n2, r.ties)
-        m, w = mid[f"Male_{f}"], mid[f"Female_{f}"]
+        m, w = mid.get(f"Male_{f}"), mid.get(f"Female_{f}")
         rows.append((f, None if m is None else round(float(m), 4), None if w is None else round(float(w), 4), None if p is None else round(r.u_stat, 1), None if p is None else round(p, 6), bool(p is not None and p < 0.05)))
     return df.sparkSession.createDataFrame(rows, "feature string, male_median double, female_median double, u_stat double, p_value double, significant_at_05 boolean")
 
@@ -150,7 +169,9 @@ def interest_rates(df: DataFrame) -> DataFrame:
     """Number, exact median and mean of approved applicants' rates by gender (ST7 without its test)."""
     d = gender_subset(df).where("approved = 1")
     side = lambda s: F.when(F.col("clean_gender") == s, F.col("clean_interest_rate"))
-    return d.agg(*[a for s in ("Male", "Female") for a in (F.count(side(s)).alias(f"{s.lower()}_n"), F.median(side(s)).alias(f"{s.lower()}_median_rate"), F.avg(side(s)).alias(f"{s.lower()}_mean_rate"))])
+    plain = d.agg(*[a for s in ("Male", "Female") for a in (F.count(side(s)).alias(f"{s.lower()}_n"), F.avg(side(s)).alias(f"{s.lower()}_mean_rate"))])
+    mid = quantiles(d, ["clean_gender"], "clean_interest_rate", {"_m": 0.5}).agg(*[F.max(F.when(F.col("clean_gender") == s, F.col("_m"))).alias(f"{s.lower()}_median_rate") for s in ("Male", "Female")])
+    return plain.join(F.broadcast(mid)).select("male_n", "male_median_rate", "male_mean_rate", "female_n", "female_median_rate", "female_mean_rate")  # one row each
 
 
 def interest_rate_test(df: DataFrame) -> DataFrame:
@@ -182,8 +203,8 @@ def spending_gaps(table: DataFrame, n: int = 8) -> DataFrame:
 
 
 def fairness_summary(df: DataFrame) -> DataFrame:
-    """Labelled and formatted results of all tests (ST8)."""
-    spark = df.sparkSession
+    """Labelled and formatted results of all tests (ST8). The columns that they need are written once."""
+    spark, df = df.sparkSession, written(df.select("clean_gender", "age_band", "approved", "clean_interest_rate"), "outcomes")
     di = disparate_impact(gender_subset(df), "clean_gender", "Male", "Female").first()
     by_gender, by_age, rate = chi2_test(gender_subset(df), "clean_gender").first(), chi2_test(age_subset(df), "age_band").first(), interest_rate_test(df).first()
     text = lambda x, f="{:.4f}": "nan" if x is None else f.format(x)
@@ -210,8 +231,9 @@ def box_data(df: DataFrame, features: list[str]) -> DataFrame:
     """``feature``, ``clean_gender``, ``n``, ``q1``, ``median``, ``q3``, ``low``, ``high`` (V5)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
     long = gender_subset(df).select("clean_gender", pairs.alias("x")).select("clean_gender", "x.*").where("value IS NOT NULL")
-    q = F.percentile("value", [0.25, 0.5, 0.75])
-    return long.groupBy("feature", "clean_gender").agg(F.count("*").alias("n"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.min("value").alias("low"), F.max("value").alias("high"))
+    by = ["feature", "clean_gender"]
+    ends = long.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return ends.join(quantiles(long, by, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}), by).select(*by, "n", "q1", "median", "q3", "low", "high")
 
 
 def histogram(df: DataFrame, group: str, value: str, bins: int = 15) -> DataFrame:
@@ -231,7 +253,9 @@ def rate_marks(df: DataFrame) -> DataFrame:
 
 
 def interest_histogram(df: DataFrame) -> DataFrame:
-    return histogram(gender_subset(df).where("approved = 1"), "clean_gender", "clean_interest_rate")
+    """The histogram of approved applicants' rates with each group's median, which is drawn as a line (V6)."""
+    d = gender_subset(df).where("approved = 1 AND clean_interest_rate IS NOT NULL")
+    return histogram(d, "clean_gender", "clean_interest_rate").join(quantiles(d, ["clean_gender"], "clean_interest_rate", {"group_median": 0.5}), "clean_gender")
 
 
 def labelled(c: Column) -> Column:

@@ -49,17 +49,35 @@ def analysis_table(curated: DataFrame, salt: str, reference: str = "2026-01-01")
     return rows.where("_r = 1").select(*[c for c in ANALYSIS_COLUMNS if c in rows.columns])
 
 
-def pseudonym_metrics(analysis: DataFrame) -> DataFrame:
-    return analysis.agg(
+def pseudonym_metrics(analysis: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """One row on the pseudonyms; with ``curated`` also the percentage of its rows that are canonical, nulls left out."""
+    out = analysis.agg(
         F.count("*").alias("n_rows"), F.lit(len(analysis.columns)).cast("bigint").alias("n_columns"), F.count_if(F.col("applicant_pseudo_id").isNull()).alias("missing"), F.count_distinct("applicant_pseudo_id").alias("n_distinct"),
         (F.count("*") - F.count_distinct("applicant_pseudo_id")).alias("repeated"), F.count_if("pseudo_id_fallback_used_flag").alias("fallback_count"), F.avg(F.col("pseudo_id_fallback_used_flag").cast("double")).alias("fallback_rate"),
     )
+    if curated is None:
+        return out
+    return out.join(F.broadcast(curated.agg(F.round(100 * F.avg(F.col("is_canonical_for_analysis").cast("double")), 2).alias("canonical_rate_pct"))))  # one row each
+
+
+def non_null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column``, ``non_null`` of the columns that are there: one pass."""
+    here = [c for c in columns if c in df.columns]
+    one = df.agg(*[F.count(c).alias(c) for c in here])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("non_null")) for c in here])).alias("x")).select("x.*")
+
+
+def direct_columns(columns: list[str], direct: list[str]) -> tuple[list[str], list[str]]:
+    """Columns named like a direct identifier: those equal to its path, and those equal to its last part whatever the case."""
+    leaves = {f.split(".")[-1].lower() for f in direct}
+    return [c for c in columns if c in set(direct)], [c for c in columns if c.lower() in leaves]
 
 
 def source_distribution(df: DataFrame, col: str, null_name: str = "MISSING") -> DataFrame:
     """Counts and shares of a column's values, nulls under a name."""
     g = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit(null_name)).alias("value")).agg(F.count("*").alias("n"))
-    return g.select("value", "n", percent_of(F.col("n"), F.sum("n").over(W.partitionBy(F.lit(0)))).alias("percent"))
+    total = df.agg(F.count("*").alias("_total"))
+    return g.join(F.broadcast(total)).select("value", "n", percent_of(F.col("n"), F.col("_total")).alias("percent"))  # one row
 
 
 def pii_inventory(spark: SparkSession, curated_columns: list[str], analysis_columns: list[str]) -> DataFrame:
@@ -147,6 +165,11 @@ def masked_columns(df: DataFrame, columns: list[str], policy: Callable = mask_fo
     return df.withColumns(found) if found else df
 
 
+def safe_preview(df: DataFrame, columns: list[str], order: str, n: int = 5, policy: Callable = mask_for) -> DataFrame:
+    """The first ``n`` rows by ``order`` with the named columns masked (N3; N4 takes ten rows and the second policy)."""
+    return masked_columns(df.orderBy(order).limit(n), columns, policy)
+
+
 def leak_scan(df: DataFrame, columns: list[str], patterns: dict[str, str] = LEAKS) -> DataFrame:
     """``pattern``, ``column``, ``hits``, ``rows`` over all rows: one pass for all patterns and columns."""
     cells = [(p, c) for p in patterns for c in columns]

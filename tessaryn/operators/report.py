@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tessaryn.functions.text import strip
 from tessaryn.operators import duplicates, rules
 from tessaryn.operators.rules import APPLICATION_RULES, SEVERITY, SPENDING_RULES, Rule
+from tessaryn.runtime import written
 
 EXAMPLES = 5
+# The rules of the comparison before and after cleaning, and how they are labelled.
 METRICS = [
     ("R_APP_002", "Missing required applicant fields"), ("R_APP_005", "Invalid email format"), ("R_APP_006", "Gender requires standardisation"), ("R_APP_008", "DOB not in ISO format"), ("R_APP_009", "DOB ambiguity"),
     ("R_APP_010", "Annual income coercion issue"), ("R_APP_011", "Annual salary field drift"), ("R_APP_012", "Negative credit history months"), ("R_APP_013", "Negative savings balance"), ("R_APP_014", "Debt-to-income out of range"),
@@ -31,20 +33,24 @@ def percent_of(count: Column, total: Column) -> Column:
     return F.when(t > 0, F.floor((n * 20000 + t) / (2 * t)) / 100.0).otherwise(0.0)
 
 
-def flag_counts(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
-    """``flag``, ``count``, ``total``: all flags in one pass over the data."""
-    one = df.agg(F.count("*").alias("_total"), *[F.count_if(c).alias(f) for f, c in flags.items()])
-    pairs = F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).alias("count")) for f in flags])
-    return one.select(F.explode(pairs).alias("x"), "_total").select("x.*", F.col("_total").alias("total"))
+def flagged(df: DataFrame, flags: dict[str, Column], id_col: str = "application_id") -> DataFrame:
+    """``_id`` and the names of the ``flags`` that are set, of every row. Writes a table, so that each flag is worked out once."""
+    hit = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in flags.items()]))
+    return written(df.select(F.col(id_col).cast("string").alias("_id"), hit.alias("_hit")), "flags")
+
 
+def flag_counts(hits: DataFrame) -> DataFrame:
+    """``flag``, ``count``, ``total`` of ``flagged`` rows; a flag that is set nowhere has no row."""
+    total = hits.agg(F.count("*").alias("total"))
+    return hits.select(F.explode("_hit").alias("flag")).groupBy("flag").agg(F.count("*").alias("count")).join(F.broadcast(total))  # one row
 
-def flag_examples(df: DataFrame, flags: dict[str, Column], id_col: str = "application_id", n: int = EXAMPLES) -> DataFrame:
+
+def flag_examples(hits: DataFrame, n: int = EXAMPLES) -> DataFrame:
     """``flag``, ``example_application_ids``: the first ``n`` distinct flagged ids in text order.
 
     The smallest ids of every task are kept before the shuffle (rank with group limit), never all of a flag.
     """
-    hit = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in flags.items()]))
-    ids = df.select(F.col(id_col).cast("string").alias("_id"), F.explode(hit).alias("flag")).where("_id IS NOT NULL").distinct()
+    ids = hits.select("_id", F.explode("_hit").alias("flag")).where("_id IS NOT NULL").distinct()
     top = ids.withColumn("_r", F.row_number().over(W.partitionBy("flag").orderBy("_id"))).where(F.col("_r") <= n)
     return top.groupBy("flag").agg(F.array_join(F.array_sort(F.collect_list("_id")), "|").alias("example_application_ids"))
 
@@ -52,19 +58,20 @@ def flag_examples(df: DataFrame, flags: dict[str, Column], id_col: str = "applic
 def rule_rows(df: DataFrame, flags: dict[str, Column], which: list[Rule], stage: str, examples: bool = True) -> DataFrame:
     """Report rows of the rules whose flag is set anywhere."""
     meta = F.array(*[F.struct(F.lit(r.flag).alias("flag"), F.lit(r.issue_group).alias("issue_group"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.field_path).alias("field_path"), F.lit(r.description).alias("description"), F.lit(r.severity).alias("severity"), F.lit(r.source_pre if stage == "pre" else r.source_post).alias("value_source")) for r in which])
-    counts = flag_counts(df, flags).where("count > 0").withColumn("m", F.explode(F.filter(meta, lambda m: m["flag"] == F.col("flag"))))
+    hits = flagged(df, flags)
+    counts = flag_counts(hits).withColumn("m", F.explode(F.filter(meta, lambda m: m["flag"] == F.col("flag"))))
     if examples:
-        counts = counts.join(flag_examples(df, flags), "flag", "left")
+        counts = counts.join(flag_examples(hits), "flag", "left")
     shown = F.coalesce("example_application_ids", F.lit("")) if examples else F.lit("")
     return counts.select(F.lit(stage).alias("stage"), "m.issue_group", "m.rule_id", "m.field_path", "m.description", "count", percent_of(F.col("count"), F.col("total")).alias("percent"), "m.severity", shown.alias("example_application_ids"), "m.value_source")
 
 
-def duplicate_rows(df: DataFrame, groups: DataFrame, stage: str, number_col: str = "raw_applicant_ssn") -> DataFrame:
-    """R_DUP_001 to 004: rows and ids that repeat, numbers that repeat and those under several ids."""
+def duplicate_rows(df: DataFrame, groups: DataFrame, stage: str, number_col: str = "raw_applicant_ssn", numbers: DataFrame | None = None) -> DataFrame:
+    """R_DUP_001 to 004: rows and ids that repeat, numbers that repeat and those under several ids. ``numbers``: the repeated numbers, if known."""
     info = {r.rule_id: r for r in rules.RULES if r.rule_id.startswith("R_DUP")}
     total = df.agg(F.count("*").alias("total"))
     many = groups.where("dup_count > 1").select(F.col("application_id").alias("_id"), "dup_count")
-    numbers = duplicates.repeated_numbers(df, number_col)
+    numbers = duplicates.repeated_numbers(df, number_col) if numbers is None else numbers
     holders = df.select(strip(F.col(number_col)).alias("number"), F.col("application_id").alias("_id")).join(numbers, "number")
     sources = {
         "R_DUP_001": (many.agg(F.coalesce(F.sum("dup_count"), F.lit(0)).alias("count")), many),
@@ -84,10 +91,10 @@ def duplicate_rows(df: DataFrame, groups: DataFrame, stage: str, number_col: str
     return out
 
 
-def quality_report(apps: DataFrame, spending: DataFrame, stage: str, groups: DataFrame, examples: bool = True, v6: bool = True) -> DataFrame:
+def quality_report(apps: DataFrame, spending: DataFrame, stage: str, groups: DataFrame, examples: bool = True, v6: bool = True, numbers: DataFrame | None = None) -> DataFrame:
     """All issues of a stage, by severity, count and rule. ``apps`` and ``spending`` are raw for ``pre``, cleaned for ``post``."""
     out = rule_rows(apps, rules.application_flags(stage, v6), APPLICATION_RULES, stage, examples)
-    out = out.unionByName(duplicate_rows(apps, groups, stage)).unionByName(rule_rows(spending, rules.spending_flags(stage), SPENDING_RULES, stage, examples))
+    out = out.unionByName(duplicate_rows(apps, groups, stage, numbers=numbers)).unionByName(rule_rows(spending, rules.spending_flags(stage), SPENDING_RULES, stage, examples))
     return out.orderBy("stage", severity_rank(F.col("severity")), F.desc("count"), "rule_id")
 
 

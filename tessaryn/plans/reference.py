@@ -12,10 +12,11 @@ from tessaryn.operators import cleaning, duplicates, evidence, fairness, flatten
 from tessaryn.operators.rules import APPLICATION_RULES
 from tessaryn.plans.reference_sql import SALT
 from tessaryn.plans.reference_sql import SQL as SQL
+from tessaryn.runtime import written
 from tessaryn.sources.tables import table
 
 AS_OF = "2025-07-01 00:00:00"
-_SHOWN = ["approval_rate", "privileged_rate", "unprivileged_rate", "disparate_impact", "demographic_parity_difference", "reference_rate", "four_fifths_line", "dup_rate", "conflict_rate", "fallback_rate", "female_rate", "male_rate", "missing_pct", "parse_failed_pct", "future_ts_pct"]
+_SHOWN = ["group_median", "approval_rate", "privileged_rate", "unprivileged_rate", "disparate_impact", "demographic_parity_difference", "reference_rate", "four_fifths_line", "dup_rate", "conflict_rate", "fallback_rate", "female_rate", "male_rate", "missing_pct", "parse_failed_pct", "future_ts_pct"]
 
 
 def _apps(s: SparkSession, d: str) -> DataFrame:
@@ -35,9 +36,10 @@ def _groups(s, d) -> DataFrame:
 
 
 def _issues(s, d) -> DataFrame:
+    """Both stages; groups and repeated numbers are worked out once for both, and the report once for all that is read off it."""
     a, i = _apps(s, d), _items(s, d)
-    g = duplicates.duplicate_groups(a)
-    return report.quality_report(a, i, "pre", g).unionByName(report.quality_report(a, i, "post", g))
+    g, n = written(duplicates.duplicate_groups(a), "groups"), written(duplicates.repeated_numbers(a), "numbers")
+    return written(report.quality_report(a, i, "pre", g, numbers=n).unionByName(report.quality_report(a, i, "post", g, numbers=n)), "issues")
 
 
 def _deltas(s, d) -> DataFrame:
@@ -129,12 +131,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evidence_card": lambda s, d: evidence.evidence_card(duplicates.duplicate_report(_apps(s, d))),
     "repeated_ssn": lambda s, d: duplicates.repeated_numbers(_apps(s, d)),
     "analysis_table": _analysis,
-    "pseudonym_metrics": lambda s, d: _rounded(privacy.pseudonym_metrics(_analysis(s, d))),
+    "pseudonym_metrics": lambda s, d: _rounded(privacy.pseudonym_metrics(_analysis(s, d), _apps(s, d))),
     "pseudonym_sources": lambda s, d: privacy.source_distribution(_analysis(s, d), "pseudo_id_source"),
     "pii_inventory": _inventory,
     "presence_matrix": lambda s, d: privacy.presence_matrix(_inventory(s, d))[0],
     "masked_columns": lambda s, d: _masked(s, d, PII, privacy.mask_for),
     "preview_columns": lambda s, d: _masked(s, d, [*PII, "raw_applicant_zip_code"], privacy.preview_mask_for),
+    "safe_preview": lambda s, d: privacy.safe_preview(_apps(s, d).select("application_row_id", *PII), PII, "application_row_id"),
+    "curated_preview": lambda s, d: privacy.safe_preview(_apps(s, d).select("application_row_id", *PII, "raw_applicant_zip_code"), [*PII, "raw_applicant_zip_code"], "application_row_id", 10, privacy.preview_mask_for),
+    "direct_pii_fields": lambda s, d: privacy.presence_matrix(_inventory(s, d))[1],
+    "pii_non_null": lambda s, d: privacy.non_null_counts(_apps(s, d), PII),
     "redact_struct": _redacted,
     "leak_scan": _leaks,
     "leak_summary": lambda s, d: privacy.leak_summary(_leaks(s, d)),
@@ -159,13 +165,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "heatmap": lambda s, d: _rounded(fairness.heatmap_data(_outcome(s, d))),
     "boxes": _boxes,
     "rate_marks": lambda s, d: _rounded(fairness.rate_marks(_outcome(s, d))),
-    "interest_histogram": lambda s, d: fairness.interest_histogram(_outcome(s, d)),
+    "interest_histogram": lambda s, d: _rounded(fairness.interest_histogram(_outcome(s, d))),
     "timestamp_profile": lambda s, d: _rounded(_profiles(s, d)),
     "provenance_bars": lambda s, d: evidence.provenance_bars(_profiles(s, d)),
     "group_check_gender": lambda s, d: _rounded(evidence.group_check(_analysis(s, d), duplicates.duplicate_report(_apps(s, d)), "clean_gender")),
     "group_check_age": lambda s, d: _rounded(evidence.group_check(_analysis(s, d), duplicates.duplicate_report(_apps(s, d)), "age_band")),
     "value_counts": lambda s, d: evidence.value_counts(_apps(s, d), "raw_source_system"),
-    "flatten_records": lambda s, d: flatten.flatten_applications(_records(s, d), ["notes"]).select("application_row_id", "application_id", "raw_processing_timestamp", "raw_applicant_full_name", "raw_applicant_zip_code", "raw_financial_annual_income", "raw_decision_loan_approved", "raw_notes"),
+    "flatten_records": lambda s, d: flatten.flatten_applications(_records(s, d)),
     "explode_items": lambda s, d: flatten.flatten_spending(_records(s, d)),
     "optional_keys": lambda s, d: s.createDataFrame([(k,) for k in flatten.optional_keys(_records(s, d))], "key string"),
     "private_ip": lambda s, d: _apps(s, d).groupBy(F.col("raw_applicant_ip_address").alias("address"), private_address(F.col("raw_applicant_ip_address")).alias("is_private")).agg(F.count("*").alias("n")),

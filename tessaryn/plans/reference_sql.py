@@ -8,6 +8,7 @@ from tessaryn.functions.fields import AGE_BANDS, PRIVATE_V4
 from tessaryn.operators import rules
 from tessaryn.operators.duplicates import LATEST, NO_TIME, TIE
 from tessaryn.operators.fairness import FEATURES
+from tessaryn.operators.flatten import PATHS
 from tessaryn.operators.privacy import ANALYSIS_COLUMNS, INVENTORY, LEAKS
 from tessaryn.operators.report import METRICS
 
@@ -300,12 +301,20 @@ SQL = {
     "duplicate_summary": f"WITH {GROUPS}, {REPORT} SELECT count(*) AS n_ids, count(*) FILTER (classification = 'exact') AS n_exact, count(*) FILTER (classification = 'versioned') AS n_versioned, count(*) FILTER (classification = 'conflict') AS n_conflict, coalesce((SELECT string_agg(c, '|' ORDER BY c) FROM (SELECT DISTINCT classification AS c FROM dup_report)), '') AS classes FROM dup_report",
     "repeated_ssn": f"WITH {NUMBERS} SELECT * FROM numbers",
     "analysis_table": f"WITH {ANALYSIS} SELECT {_OUT} FROM analysis",
-    "pseudonym_metrics": f"WITH {ANALYSIS} SELECT count(*) AS n_rows, CAST({len(ANALYSIS_COLUMNS)} AS BIGINT) AS n_columns, count(*) FILTER (applicant_pseudo_id IS NULL) AS missing, count(DISTINCT applicant_pseudo_id) AS n_distinct, count(*) - count(DISTINCT applicant_pseudo_id) AS repeated, count(*) FILTER (pseudo_id_fallback_used_flag) AS fallback_count, round(avg(CASE WHEN pseudo_id_fallback_used_flag THEN 1.0 ELSE 0.0 END), 9) AS fallback_rate FROM analysis",
+    "pseudonym_metrics": f"WITH {ANALYSIS} SELECT count(*) AS n_rows, CAST({len(ANALYSIS_COLUMNS)} AS BIGINT) AS n_columns, count(*) FILTER (applicant_pseudo_id IS NULL) AS missing, count(DISTINCT applicant_pseudo_id) AS n_distinct, count(*) - count(DISTINCT applicant_pseudo_id) AS repeated, count(*) FILTER (pseudo_id_fallback_used_flag) AS fallback_count, round(avg(CASE WHEN pseudo_id_fallback_used_flag THEN 1.0 ELSE 0.0 END), 9) AS fallback_rate, (SELECT round(100 * avg(CAST(is_canonical_for_analysis AS DOUBLE)), 2) FROM {APPS}) AS canonical_rate_pct FROM analysis",
     "pseudonym_sources": f"WITH {ANALYSIS} SELECT coalesce(pseudo_id_source, 'MISSING') AS value, count(*) AS n, {percent('count(*)', 'CAST(sum(count(*)) OVER () AS BIGINT)')} AS percent FROM analysis GROUP BY 1",
     "pii_inventory": "SELECT * FROM (VALUES " + ", ".join(f"({q(p)}, {q(k)}, {str(r).lower()}, {str(bool(c)).lower()}, {str(bool(a)).lower()})" for p, k, r, c, a in INVENTORY) + ") t(field_path, classification, present_in_raw, present_in_curated, present_in_analysis)",
     "presence_matrix": "SELECT * FROM (VALUES " + ", ".join(f"({q(p)}, {q(k)}, {str(r).lower()}, {str(bool(c)).lower()}, {str(bool(a)).lower()})" for p, k, r, c, a in INVENTORY) + ") t(field_path, pii_class, present_in_raw, present_in_curated, present_in_analysis)",
     "masked_columns": f"SELECT application_row_id, {', '.join(f'{e} AS {c}' for c, e in _MASKED.items())}, {_MASK_DOB} AS {_DOB} FROM {APPS}",
     "preview_columns": f"SELECT application_row_id, {', '.join(f'{e} AS {c}' for c, e in _MASKED.items())}, {_MASK_YEAR} AS {_DOB}, CASE WHEN {blank('raw_applicant_zip_code')} THEN raw_applicant_zip_code ELSE '[REDACTED_ZIP]' END AS raw_applicant_zip_code FROM {APPS}",
+    "safe_preview": f"SELECT application_row_id, {', '.join(f'{e} AS {c}' for c, e in _MASKED.items())}, {_MASK_DOB} AS {_DOB} FROM {APPS} ORDER BY application_row_id LIMIT 5",
+    "curated_preview": f"SELECT application_row_id, {', '.join(f'{e} AS {c}' for c, e in _MASKED.items())}, {_MASK_YEAR} AS {_DOB}, CASE WHEN {blank('raw_applicant_zip_code')} THEN raw_applicant_zip_code ELSE '[REDACTED_ZIP]' END AS raw_applicant_zip_code FROM {APPS} ORDER BY application_row_id LIMIT 10",
+    "pii_non_null": " UNION ALL ".join(f"SELECT {q(c)} AS \"column\", count({c}) AS non_null FROM {APPS}" for c in [*_MASKED, _DOB]),
+    "evidence_card": f"""WITH {GROUPS}, {REPORT} SELECT 'total' AS part, 'Total duplicated application_ids: ' || count(*) AS line FROM dup_report
+ UNION ALL SELECT 'classes', 'Conflict duplicates: ' || count(*) FILTER (classification = 'conflict') || '   |   Versioned duplicates: ' || count(*) FILTER (classification = 'versioned') FROM dup_report
+ UNION ALL SELECT 'rule', 'Canonical selection rule observed: ' || coalesce((SELECT string_agg(r, ', ' ORDER BY r) FROM (SELECT DISTINCT canonical_reason AS r FROM dup_report)), 'n/a')
+ UNION ALL SELECT 'note', 'Governance note: fallback selection indicates a provenance/auditability gap (missing/unparseable timestamps).'
+ UNION ALL SELECT 'example', coalesce(application_id, 'None') || ': ' || classification || ' | diffs: ' || CASE WHEN length(example_differences) > 80 THEN left(example_differences, 77) || '...' ELSE example_differences END FROM dup_report""",
     "leak_scan": " UNION ALL ".join(f"SELECT {q(p)} AS pattern, {q(c)} AS \"column\", count(*) FILTER (regexp_matches(CAST({c} AS VARCHAR), {q(e)})) AS hits, count(*) AS n_rows FROM documents" for p, e in LEAKS.items() for c in _LEAK_COLS),
     "leak_summary": "SELECT pattern, max(n_rows) AS n_rows, count(*) AS columns_scanned, CAST(sum(hits) AS BIGINT) AS cell_hits, count(*) FILTER (hits > 0) AS columns_with_hits FROM (" + " UNION ALL ".join(f"SELECT {q(p)} AS pattern, count(*) FILTER (regexp_matches(CAST({c} AS VARCHAR), {q(e)})) AS hits, count(*) AS n_rows FROM documents" for p, e in LEAKS.items() for c in _LEAK_COLS) + ") GROUP BY 1",
     "approval_by_gender": f"WITH {ANALYSIS} SELECT clean_gender, {RATES} FROM gs GROUP BY 1",
@@ -323,12 +332,12 @@ SQL = {
     "heatmap": f"WITH {ANALYSIS}, b AS (SELECT unnest([{', '.join(map(q, AGE_BANDS))}]) AS age_band) SELECT b.age_band, " + ", ".join(f"round(avg(g.approved) FILTER (g.clean_gender = '{s}'), 9) AS {s.lower()}_rate, nullif(count(*) FILTER (g.clean_gender = '{s}'), 0) AS {s.lower()}_n" for s in ("Female", "Male")) + " FROM b LEFT JOIN gs g ON g.age_band = b.age_band GROUP BY 1",
     "boxes": f"WITH {ANALYSIS}, l AS ({_LONG}) SELECT feature, clean_gender, count(*) AS n, round(quantile_cont(v, 0.25), 6) AS q1, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, min(v) AS low, max(v) AS high FROM l GROUP BY 1, 2",
     "rate_marks": f"WITH {ANALYSIS} SELECT age_band, {RATES}, round((SELECT avg(approved) FROM ags WHERE age_band = '25-34'), 9) AS reference_rate, round((SELECT avg(approved) FROM ags WHERE age_band = '25-34') * 0.8, 9) AS four_fifths_line FROM ags GROUP BY 1",
-    "interest_histogram": f"WITH {ANALYSIS}, d AS (SELECT clean_gender, clean_interest_rate AS v, min(clean_interest_rate) OVER (PARTITION BY clean_gender) AS low, max(clean_interest_rate) OVER (PARTITION BY clean_gender) AS high FROM gs WHERE approved = 1 AND clean_interest_rate IS NOT NULL) SELECT clean_gender, CAST(CASE WHEN high = low THEN 1 ELSE least(floor((v - low) / ((high - low) / 15)) + 1, 15) END AS INT) AS bin, count(*) AS n, low, high FROM d GROUP BY 1, 2, 4, 5",
+    "interest_histogram": f"WITH {ANALYSIS}, d AS (SELECT clean_gender, clean_interest_rate AS v, min(clean_interest_rate) OVER (PARTITION BY clean_gender) AS low, max(clean_interest_rate) OVER (PARTITION BY clean_gender) AS high FROM gs WHERE approved = 1 AND clean_interest_rate IS NOT NULL), md AS (SELECT clean_gender, round(median(v), 9) AS group_median FROM d GROUP BY 1) SELECT d.clean_gender, CAST(CASE WHEN high = low THEN 1 ELSE least(floor((v - low) / ((high - low) / 15)) + 1, 15) END AS INT) AS bin, count(*) AS n, low, high, group_median FROM d JOIN md ON md.clean_gender = d.clean_gender GROUP BY 1, 2, 4, 5, 6",
     "timestamp_profile": _PROFILES,
     "provenance_bars": f"SELECT dataset, field, measure, round(pct * 100, 2) AS percent FROM (SELECT dataset, field, unnest(['missing', 'parse_failed', 'future_ts']) AS measure, unnest([missing_pct, parse_failed_pct, future_ts_pct]) AS pct FROM ({_PROFILES}) WHERE has_field = 1)",
     **{f"group_check_{n}": f"WITH {GROUPS}, {ANALYSIS} SELECT coalesce(a.{c}, 'missing') AS {c}, count(*) AS n_total, count(g.application_id) AS n_duplicated, count(*) FILTER (g.classification = 'conflict') AS n_conflict, round(count(g.application_id) * 1.0 / count(*), 9) AS dup_rate, round(count(*) FILTER (g.classification = 'conflict') * 1.0 / count(*), 9) AS conflict_rate FROM analysis a LEFT JOIN (SELECT * FROM groups WHERE dup_count > 1) g ON g.application_id = a.application_id GROUP BY 1" for n, c in (("gender", "clean_gender"), ("age", "age_band"))},
     "value_counts": f"SELECT raw_source_system, count(*) AS n FROM {APPS} GROUP BY 1",
-    "flatten_records": f"SELECT record_id AS application_row_id, p->>'$._id' AS application_id, p->>'$.processing_timestamp' AS raw_processing_timestamp, p->>'$.applicant_info.full_name' AS raw_applicant_full_name, p->>'$.applicant_info.zip_code' AS raw_applicant_zip_code, p->>'$.financials.annual_income' AS raw_financial_annual_income, p->>'$.decision.loan_approved' AS raw_decision_loan_approved, p->>'$.notes' AS raw_notes FROM {_OBJ}",
+    "flatten_records": "SELECT record_id AS application_row_id, " + ", ".join(f"p->>'{path}' AS {c}" for c, path in PATHS.items()) + f", p->>'$.notes' AS raw_notes, p->>'$.referral_code' AS raw_referral_code FROM {_OBJ}",
     "explode_items": f"SELECT application_row_id, application_id, spending_index, i->>'$.category' AS raw_category, i->>'$.amount' AS raw_amount FROM (SELECT record_id AS application_row_id, p->>'$._id' AS application_id, CAST(unnest(range(CAST(json_array_length(p->'$.spending_behavior') AS BIGINT))) AS INT) AS spending_index, unnest(CAST(p->'$.spending_behavior' AS JSON[])) AS i FROM {_OBJ} WHERE json_type(p->'$.spending_behavior') = 'ARRAY') WHERE json_type(i) = 'OBJECT'",
     "optional_keys": f"SELECT DISTINCT k AS key FROM (SELECT unnest(json_keys(p)) AS k FROM {_OBJ}) WHERE k NOT IN ('_id','processing_timestamp','applicant_info','financials','decision','spending_behavior')",
     "private_ip": f"SELECT raw_applicant_ip_address AS address, {private_address('raw_applicant_ip_address')} AS is_private, count(*) AS n FROM {APPS} GROUP BY 1, 2",

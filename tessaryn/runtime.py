@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,12 +16,14 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) a temporary folder is made and removed at exit.
+    Read from ``spark.checkpoint.dir``; only where that is unset and Spark runs on one machine (tests)
+    a temporary folder is made and removed at exit. A cluster without the setting is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="tessaryn_")
@@ -41,11 +44,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, if it is there."""
+def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written aside and renamed, so that a reader sees all of it or nothing."""
+    jvm, p, fs = _file_system(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(aside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(aside, p):
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    jvm, p, fs = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder, none if it is not there."""
+    _, p, fs = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, if it is there."""
+    _, p, fs = _file_system(spark, path)
+    fs.delete(p, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -47,11 +47,15 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_analysis(spark: SparkSession, path: str, null_outcome: str = "reject") -> DataFrame:
-    """The analysis table from CSV: zip and pseudonym as text, numbers coerced, ``approved`` derived (IO4)."""
+    """The analysis table from CSV: zip and pseudonym as text, numbers coerced, ``approved`` derived, ``age_band_rank`` the
+    place of the band in age order (IO4)."""
+    from tessaryn.functions.fields import band_rank
     from tessaryn.operators.fairness import with_outcome
 
     df = _csv(spark, path)
     df = df.withColumns({c: number(F.col(c)) for c in ANALYSIS_NUMBERS if c in df.columns})
+    if "age_band" in df.columns:
+        df = df.withColumn("age_band_rank", band_rank(F.col("age_band")))
     return with_outcome(df.withColumn("clean_loan_approved", truth(F.col("clean_loan_approved"))), null_outcome)
 
 

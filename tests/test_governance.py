@@ -94,6 +94,29 @@ def test_published_statistics(spark):
     assert [round(r.disparate_impact, 4) for r in fairness.age_impact_table(aged).collect()] == [0.9881, 1.4026, 1.3780, 1.3380, 1.1528]
 
 
+def test_exact_u_of_very_unequal_samples():
+    assert [sum(tails._orders(m, n)) for m, n in ((2, 3), (4, 5), (1, 7))] == [10, 126, 8] and tails._orders(2, 2) == [1, 1, 2, 1, 1]
+    assert tails.mann_whitney_p(12_000, 5, 5_000, 0) == pytest.approx(0.8808135469913783) and tails.mann_whitney_p(4_000, 8, 1_000, 0) == 1.0
+
+
+def test_published_fairness_values(spark):
+    """163 of 247 men and 127 of 250 women approved: the published ratio, difference, p-value and texts."""
+    cells = [("Male", 1, 163), ("Male", 0, 84), ("Female", 1, 127), ("Female", 0, 123)]
+    df = spark.createDataFrame([(g, None, a, 4.0 + i % 2) for g, a, n in cells for i in range(n)], "clean_gender string, age_band string, approved int, clean_interest_rate double")
+    p = fairness.chi2_test(df, "clean_gender").first()
+    assert p.p_value == pytest.approx(0.000826, abs=5e-7) and p.significant_at_05
+    first, second, *rest = fairness.fairness_summary(df).collect()
+    assert (first.metric_value, second.metric_value, first.note) == ("0.7698", "-0.1519", "Female rate 50.8% vs Male 66.0%") and first.four_fifths_flag
+    assert [r.note for r in rest] == ["n Male=163, n Female=127"]
+
+
+def test_quantiles_are_exact(spark):
+    rows = [(g, float(v)) for g, vs in (("a", [1, 2, 2, 7]), ("b", [5]), ("c", [3, 1, 9])) for v in vs]
+    got = {r.g: (r.q, r.m) for r in fairness.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"q": 0.25, "m": 0.5}).collect()}
+    assert got == {"a": (1.75, 2.0), "b": (5.0, 5.0), "c": (2.0, 3.0)}
+    assert privacy.direct_columns(["SSN", "applicant_info.ssn", "x"], ["applicant_info.ssn"]) == (["applicant_info.ssn"], ["SSN"])
+
+
 def test_tails():
     assert tails.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-12) and tails.t_two_sided(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-10)
     assert tails.mann_whitney_p(0, 3, 3, 0) == pytest.approx(0.1) and tails.mann_whitney_p(4.5, 3, 3, 0) == 1.0
