@@ -32,7 +32,7 @@ MIN_OVERLAP, MIN_SCORE, NAME_WEIGHT = 0.35, 0.55, 0.35
 def feature(v) -> int:
     """The kind of content that a value is, whatever its JSON type: magnitude, first word, or shape."""
     if isinstance(v, list):
-        v = next((x for x in v if x is not None), "")
+        v = " ".join(text_of(x) for x in v if x is not None)
     if isinstance(v, bool):
         v = int(v)
     s = v.strip() if isinstance(v, str) else v
@@ -44,9 +44,9 @@ def feature(v) -> int:
     if isinstance(s, (int, float)):
         key = f"n{s:.0f}" if s in (0, 1) else f"m{math.copysign(1, s):.0f}{round(2 * math.log2(abs(s))) if s else 0}" if abs(s) < 1e300 else "big"
     elif not any(c.isdigit() for c in s):
-        key = "w" + s.lower().split(" ", 1)[0][:12]
+        key = "w" + s.lower().split(" ", 1)[0]
     else:
-        key = "s" + re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", lambda m: str(len(m[0])), s))[:30]
+        key = "s" + re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", lambda m: str(len(m[0])), s))
     return zlib.crc32(key.encode("utf-8", "replace")) % FEATURES
 
 
@@ -94,16 +94,34 @@ def fields(foot: DataFrame) -> DataFrame:
 
 
 def lifespans(found: DataFrame) -> DataFrame:
-    """Islands of presence: ``feed_id``, ``path``, ``kind``, first and last position and file, one row per unbroken run of one type."""
+    """Islands of presence: ``feed_id``, ``path``, ``kind``, first and last position and file, the last position of the
+    feed, one row per unbroken run of one type."""
     w = W.partitionBy("feed_id", "path").orderBy("idx")
     new = F.coalesce((F.col("idx") - F.lag("idx").over(w) > 1) | (F.col("kind") != F.lag("kind").over(w)), F.lit(True))
     runs = found.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w))
     at = F.col("idx")
     return runs.groupBy("feed_id", "path", "kind", "_run").agg(
-        F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.min_by("source_file", at).alias("first_file"), F.max_by("source_file", at).alias("last_file"), F.sum("n").alias("values")
+        F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.min_by("source_file", at).alias("first_file"), F.max_by("source_file", at).alias("last_file"), F.max("last_idx").alias("feed_last_idx"), F.sum("n").alias("values")
     ).drop("_run")
 
 
+def events(spans: DataFrame, foot: DataFrame) -> DataFrame:
+    """The log of the catalogue: ``feed_id``, ``change_file``, ``event`` (``start``, ``end`` or ``retype``), ``path``, ``kind``, ``at_file``.
+
+    A span that begins after the feed's first file starts its field, or retypes it if another span of the
+    field ended just before; one that ends before the last file without another after it ends the
+    field in the file that follows. ``at_file`` is the span's own file at that end.
+    """
+    order = W.partitionBy("feed_id").orderBy("file_seq", "source_file")
+    files = foot.select("feed_id", "source_file", "file_seq").distinct().withColumn("idx", F.row_number().over(order)).select("feed_id", "idx", F.col("source_file").alias("change_file"))
+    w = W.partitionBy("feed_id", "path").orderBy("first_idx")
+    ends = spans.withColumns({"_next": F.lead("first_idx").over(w), "_before": F.lag("last_idx").over(w)})
+    kind = F.when(F.col("_before") == F.col("first_idx") - 1, "retype").otherwise("start")
+    began = ends.where("first_idx > 1").select("feed_id", F.col("first_file").alias("change_file"), kind.alias("event"), "path", "kind", F.col("first_file").alias("at_file"))
+    gone = ends.where("last_idx < feed_last_idx AND (_next IS NULL OR _next > last_idx + 1)").select("feed_id", (F.col("last_idx") + 1).alias("idx"), F.lit("end").alias("event"), "path", "kind", F.col("last_file").alias("at_file"))
+    return began.union(gone.join(files, ["feed_id", "idx"]).select(began.columns))
+
+
 def _words(path: str) -> list[str]:
     leaf = path.split("[]")[-1].strip(".") or path
     return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", leaf).lower()) if w]
@@ -141,51 +159,41 @@ def _pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source_file", "old_path", "new_path", "old_kind", "new_kind", "score"])
 
 
-def renames(foot: DataFrame, found: DataFrame) -> DataFrame:
+def renames(foot: DataFrame, log: DataFrame) -> DataFrame:
     """``source_file``, ``old_path``, ``new_path``, ``old_kind``, ``new_kind``, ``score`` of fields renamed from the previous file.
 
     Only the fields that end or start between two files are compared, one file at a time: as many
     profiles of at most 512 counts as a file has changed fields.
     """
-    w = W.partitionBy("feed_id", "path").orderBy("idx")
-    ends = found.withColumn("_next", F.lead("idx").over(w)).withColumn("_before", F.lag("idx").over(w))
-    files = found.select("feed_id", "idx", F.col("source_file").alias("_at")).distinct()
-    gone = ends.where("idx < last_idx AND (_next IS NULL OR _next > idx + 1)").select("feed_id", "source_file", "path", "kind", (F.col("idx") + 1).alias("idx"))
-    gone = gone.join(files, ["feed_id", "idx"]).select(F.col("_at").alias("change_file"), F.lit("old").alias("side"), "source_file", "path", "kind")
-    come = ends.where("idx > 1 AND (_before IS NULL OR _before < idx - 1)").select(F.col("source_file").alias("change_file"), F.lit("new").alias("side"), "source_file", "path", "kind")
-    profile = foot.where("path IS NOT NULL").groupBy("source_file", "path", "feature").agg(F.sum("n").alias("n"))
-    both = gone.union(come).join(profile, ["source_file", "path"]).select(F.col("change_file").alias("source_file"), "side", "path", "kind", "feature", "n")
-    return both.groupBy("source_file").applyInPandas(_pairs, "source_file string, old_path string, new_path string, old_kind string, new_kind string, score double")
+    ends = log.where("event <> 'retype'").select("feed_id", "change_file", F.when(F.col("event") == "end", "old").otherwise("new").alias("side"), F.col("at_file").alias("source_file"), "path", "kind")
+    profile = foot.where("path IS NOT NULL").groupBy("feed_id", "source_file", "path", "feature").agg(F.sum("n").alias("n"))
+    both = ends.join(profile, ["feed_id", "source_file", "path"]).select("feed_id", F.col("change_file").alias("source_file"), "side", "path", "kind", "feature", "n")
+    return both.groupBy("feed_id", "source_file").applyInPandas(_pairs, "source_file string, old_path string, new_path string, old_kind string, new_kind string, score double")
 
 
-def changes(df: DataFrame) -> DataFrame:
-    """``source_file``, ``change_kind``, ``old_path``, ``new_path``: each change against the feed's previous file.
-
-    Kinds: added, removed, renamed, retyped. A feed's first file has none. Files whose payloads are
-    all null or incomplete count as files without fields. Of types used equally often the last by
-    name counts. Empty tables give no rows.
-    """
+def catalogue(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fields by file, log of events, renames) of ``df``'s payloads. Writes tables."""
     foot = written(footers(df), "footer_rows")
     found = written(fields(foot), "fields")
-    pairs = written(renames(foot, found), "renames")
-    return _changes(foot, found, pairs)
+    log = written(events(lifespans(found), foot), "events")
+    return found, log, written(renames(foot, log), "renames")
 
 
-def _changes(foot: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    order = W.partitionBy("feed_id").orderBy("file_seq", "source_file")
-    files = foot.select("feed_id", "source_file", "file_seq").distinct().withColumn("idx", F.row_number().over(order)).select("feed_id", "idx", F.col("source_file").alias("at_file"))
-    w = W.partitionBy("feed_id", "path").orderBy("idx")
-    ends = found.withColumns({"_next": F.lead("idx").over(w), "_before": F.lag("idx").over(w), "_kind": F.lag("kind").over(w)})
-    empty = F.lit("")
-    come = ends.where("idx > 1 AND (_before IS NULL OR _before < idx - 1)").select("source_file", F.lit("added").alias("change_kind"), empty.alias("old_path"), F.col("path").alias("new_path"))
-    gone = ends.where("idx < last_idx AND (_next IS NULL OR _next > idx + 1)").select("feed_id", (F.col("idx") + 1).alias("idx"), "path").join(files, ["feed_id", "idx"])
-    gone = gone.select(F.col("at_file").alias("source_file"), F.lit("removed").alias("change_kind"), F.col("path").alias("old_path"), empty.alias("new_path"))
-    typed = ends.where("_before = idx - 1 AND _kind <> kind").select("source_file", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_path"), F.col("path").alias("new_path"))
-    come = come.join(pairs.select("source_file", "new_path"), ["source_file", "new_path"], "left_anti").select(typed.columns)
-    gone = gone.join(pairs.select("source_file", "old_path"), ["source_file", "old_path"], "left_anti").select(typed.columns)
+def changes(df: DataFrame) -> DataFrame:
+    """``source_file``, ``change_kind``, ``old_path``, ``new_path``: each change against the feed's previous file.
+
+    Read off the log of the lifespans. Kinds: added, removed, renamed, retyped. A feed's first file has
+    none. Files whose payloads are all null or incomplete count as files without fields. Of types used
+    equally often the last by name counts. Empty tables give no rows.
+    """
+    _, log, pairs = catalogue(df)
+    row = lambda d, kind, old, new: d.select(F.col("change_file").alias("source_file"), F.lit(kind).alias("change_kind"), old.alias("old_path"), new.alias("new_path"))
+    empty, path = F.lit(""), F.col("path")
+    start = log.where("event = 'start'").join(pairs.select(F.col("source_file").alias("change_file"), F.col("new_path").alias("path")), ["change_file", "path"], "left_anti")
+    end = log.where("event = 'end'").join(pairs.select(F.col("source_file").alias("change_file"), F.col("old_path").alias("path")), ["change_file", "path"], "left_anti")
     named = pairs.select("source_file", F.lit("renamed").alias("change_kind"), "old_path", "new_path")
     both = pairs.where("old_kind <> new_kind").select("source_file", F.lit("retyped").alias("change_kind"), "old_path", "new_path")
-    return come.union(gone).union(typed).union(named).union(both)
+    return row(start, "added", empty, path).union(row(end, "removed", path, empty)).union(row(log.where("event = 'retype'"), "retyped", path, path)).union(named).union(both)
 
 
 def _followed(links: DataFrame) -> DataFrame:

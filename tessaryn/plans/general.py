@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessaryn.operators import drift, load_profile
 from tessaryn.operators.moments_dictionary import normalised_moments
-from tessaryn.operators.nested import element_rows
+from tessaryn.operators.nested import element_rows, pivoted, table_rows
 from tessaryn.runtime import written
 from tessaryn.sources.tables import table
 
@@ -38,6 +38,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return element_rows(table(spark, d, "raw_records"))
 
 
+def p2_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all flat tables with their values by name, each tied to its record and parent."""
+    return table_rows(table(spark, d, "raw_records"))
+
+
+def p2_spending(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of the spending entries, a column for each name."""
+    return pivoted(written(p2_tables(spark, d), "rows"), "spending_behavior[]")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Each change of a feed's fields from one file to the next."""
     return drift.changes(table(spark, d, "raw_records"))
@@ -51,9 +61,8 @@ def p7_lifespans(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_aliases(spark: SparkSession, d: str) -> DataFrame:
     """The consistent column and cast of every field of every feed."""
-    foot = written(drift.footers(table(spark, d, "raw_records")), "footer_rows")
-    found = written(drift.fields(foot), "fields")
-    return drift.alias_table(written(drift.renames(foot, found), "renames"), found)
+    found, _, pairs = drift.catalogue(table(spark, d, "raw_records"))
+    return drift.alias_table(pairs, found)
 
 
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
@@ -61,5 +70,5 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent(table(spark, d, "raw_records"), written(p7_aliases(spark, d), "aliases"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_aliases": p7_aliases, "p7_table": p7_table}
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p2_tables": p2_tables, "p2_spending": p2_spending, "p3_found": p3_found, "p7_found": p7_found, "p7_lifespans": p7_lifespans, "p7_aliases": p7_aliases, "p7_table": p7_table}
 SQL: dict[str, str] = {}

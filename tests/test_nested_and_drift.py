@@ -1,6 +1,6 @@
 import json
 
-from tessaryn.operators import drift
+from tessaryn.operators import drift, nested
 from tessaryn.operators.nested import element_rows, flat_tables
 
 RECORDS = {
@@ -28,11 +28,32 @@ def test_elements(spark):
 
 def test_repeated_record_and_deep_and_long(spark):
     deep = "1"
-    for _ in range(3000):
+    for k in range(1500):
         deep = '{"x":' + deep + "}"
-    extra = [(1, json.dumps(RECORDS[1])), (11, deep), (12, json.dumps({"t": "y" * 200_000, "a": {"b": [{"c": []}]}})), (13, '{"\\ud800": [{"q": "\\ud800"}]}')]
-    got = element_rows(rows(spark, extra)).groupBy("record_id").count().collect()
-    assert {r.record_id: r["count"] for r in got} == {1: 10, 2: 2, 3: 1, 4: 1, 12: 1, 13: 1}
+    deep = '{"r":[' + deep + ',{"y":[{}]}]}'
+    extra = [(1, json.dumps(RECORDS[1])), (11, deep), (12, json.dumps({"t": "y" * 200_000, "a": {"b": [{"c": []}]}})), (13, '{"\\ud800": [{"q": "\\ud800"}]}'), (14, '{"a\\u001fb\\u0001\\u00102": [{}]}')]
+    found = element_rows(rows(spark, extra))
+    got = found.groupBy("record_id").count().collect()
+    assert {r.record_id: r["count"] for r in got} == {1: 10, 2: 2, 3: 1, 4: 1, 11: 3, 12: 1, 13: 1, 14: 1}
+    assert [r.element_path for r in found.where("record_id = 14").collect()] == ["a\x1fb\x01\x102[0]"]
+
+
+def test_parsing_by_stack_is_parsing():
+    texts = ['{"a": [1, -2.5e3, true, null, {"b": "x\\n\\u00e9"}], "c": {}, "d": []}', "[]", " 7 ", '"x"', "[1,]", '{"a" 1}', '{"a":1,}', "[1 2]", "{", "[", '{"a":tru}', "01", "[1]]", "", '{"a":"b"', "[NaN]", "[[[]],{}]"]
+    for t in texts:
+        try:
+            want = json.loads(t, parse_constant=nested._no_constant)
+        except ValueError:
+            want = ValueError
+        try:
+            got = nested._deep(t)
+        except ValueError:
+            got = ValueError
+        assert got == want, t
+    v = nested.parse("[" * 200_000 + "]" * 200_000)
+    for _ in range(199_999):
+        v = v[0]
+    assert v == []
 
 
 def test_flat_tables_keep_links_and_names(spark):
@@ -42,6 +63,8 @@ def test_flat_tables_keep_links_and_names(spark):
     assert c[1, "a.b[0].c[2]"] == ("a.b[0]", "2") and c[1, "a.b[3].c[0]"] == ("a.b[3]", "3") and len(c) == 4
     assert [r.record_id_ for r in t["a.b[]"].where("record_id = 20").collect()] == ["7"]
     assert [r["p.q.r"] for r in t[""].where("record_id = 20").collect()] == ["true"]
+    dotted = nested.table_rows(rows(spark, [(21, '{"p": {"q": 1}, "p.q": 2, "s.t": [{"u.v": {"w": 3}}]}')])).where("record_id = 21").collect()
+    assert {r.table_path: r["values"] for r in dotted} == {"": {"p.q": "1", "p\\.q": "2"}, "s.t[]": {"u\\.v.w": "3"}}
 
 
 def feed(spark, files):
