@@ -3,7 +3,7 @@
 Texts are cut into segments, equal segments are judged once. Lexicon and pattern voters of four
 languages and the reviewers' labels vote on each distinct segment; a generative model estimates
 from the patterns of votes how accurate each voter is and which voters repeat each other; a linear
-classifier on words and word pairs is trained on the posterior labels and scores every segment.
+classifier on words and word pairs is trained on the posterior labels and alone scores every segment.
 A document's score is that of its worst segment.
 """
 
@@ -23,8 +23,6 @@ from tessaryn.runtime import written
 
 #: Distinct segments that the classifier is trained on at most (taken by hash, those with a positive vote and others apart), and its hashed features.
 TRAIN_ROWS, FEATURES = 20_000, 1 << 15
-#: Vote patterns kept apart by the label model; there are a few hundred, rarer ones beyond are judged by the fitted model all the same.
-PATTERNS = 4096
 #: A segment is hot if it makes up more than this share of all; at most 1 / share are broadcast.
 HOT_SHARE = 1 / 2000
 #: Labelled documents that a segment must lie in for the reviewers to vote on it, and the shares of flagged ones that make a
@@ -47,9 +45,8 @@ SEXUAL = {
     "es": "follarte follar desnuda polla tetas culo chupame cachonda",
     "fr": "baiser nue seins sucer coucher-avec-toi chatte",
 }
-GROUPS = "immigrants? foreigners? refugees women gays? gay-couples lesbians travellers gypsies single-mothers disabled-people old-people muslims jews blacks auslander fluchtlinge behinderte frauen juden moslems zigeuner inmigrantes extranjeros refugiados mujeres gitanos discapacitados moros etrangers refugies femmes handicapes immigres juifs arabes migrantes migranten migrants".replace(" ", "|").replace("-", " ")
-VILE = "rats?|cockroach(?:es)?|vermin|parasites?|leeches|animals?|subhuman|filthy|breed|disease|steal|locked away|get rid of|too stupid|boat|cent\\b|crawl|swarm|ungeziefer|schmarotzer|weggesperrt|pack\\b|tiere|ratas|animales|larguen|no sirven|escoria|cafards|vermine|foute dehors|animaux|parasites|pas un sou|rather shred|first mistake|hire fewer|nobody needs|typical"
-_STRONG = sorted({w.replace("-", "") for d in (INSULTS, SEXUAL) for ws in d.values() for w in ws.split() if len(w) >= 6 and w not in ("touching-myself",)})
+GROUPS = "immigrants? foreigners? refugees? migrants? women gays? gay-couples lesbians? travellers gypsies single-mothers disabled-people old-people muslims jews christians blacks whites asians arabs auslander fluchtlinge behinderte frauen juden moslems zigeuner schwule turken inmigrantes extranjeros refugiados mujeres gitanos discapacitados moros judios negros etrangers refugies femmes handicapes immigres juifs arabes noirs migrantes migranten".replace(" ", "|").replace("-", " ")
+VILE = "rats?|cockroach(?:es)?|vermin|parasites?|leeches|animals?|subhumans?|filth|filthy|scum|breed|disease|plague|inferior|stupid|lazy|criminals?|thieves|steal|go back|locked away|get rid of|swarm|crawl|ungeziefer|schmarotzer|weggesperrt|pack|tiere|dreck|faul|ratas|animales|larguen|escoria|no sirven|sucios|ladrones|cafards|vermine|dehors|animaux|sales|voleurs|paresseux"
 
 
 def _any(lexicon: str) -> re.Pattern:
@@ -60,22 +57,21 @@ def _is(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
-#: name, pattern, vote
+#: Names of voters on bad and on fine segments and their patterns. With the two that follow there are at most 3 * 2^13 patterns of votes.
 VOTERS: list[tuple[str, re.Pattern, int]] = [
-    *[(f"insult_{k}", _any(v), 1) for k, v in INSULTS.items()],
-    *[(f"sexual_{k}", _any(v), 1) for k, v in SEXUAL.items()],
-    ("lewd_request", _is(r"picture of you (?:naked|nude)|suck my|bend her over|love to spank|lick you|lick me|touching myself|so horny|fuck on|your panties|you undressed|nacktfoto|foto desnuda|toute nue|follarte|te baiser|dich .*ficken|hard just reading"), 1),
-    ("group_vile", _is(rf"\b(?:{GROUPS})\b.*(?:{VILE})|(?:{VILE}).*\b(?:{GROUPS})\b"), 1),
-    ("group_judged", _is(rf"\b(?:{GROUPS})\b (?:are|sind|son|sont|steal|vote|no sirven)|(?:letting|nobody needs|get rid of (?:all )?|hire fewer|vermin like|typical|served by) ?(?:rats like |vermin like )?(?:{GROUPS})\b"), 1),
-    ("threat_en", _is(r"\b(?:smash (?:her|his|your) face|break your|burn the branch|i know where you|you will regret|deserves? a good beating|come to .* and break|shoot you|kill you|find you)\b"), 1),
-    ("threat_other", _is(r"ich wei(?:ss|s) wo du|casser la figure|se donde vives|je sais ou tu|bring dich um|te voy a|mach dich fertig|wirst es bereuen"), 1),
-    ("death_wish", _is(r"\b(?:drop dead|hang yourself|get cancer|go die|verreck|crever|te mueras|kill yourself|nobody would miss)\b"), 1),
-    ("told_off", _is(r"\b(?:go to hell|shut up and|crawl back|you disgust|lick my|halt die|ferme ta|callate|vete al|bunch of|you people are|ihr seid|espece d|pedazo de|own ass|yourself)\b"), 1),
-    ("you_are", _is(r"\b(?:you are an?|you're an?|du bist|sie sind ein|eres un|vous etes un|tu es un|what an? .* must|only an? .* writes|tell that)\b"), 1),
-    ("lewd_address", _is(r"\b(?:lick you|touching myself|bend her over|needn'?t know|wearing under|your voice|hard just|undressed on|hotel room|tonight|ma belle|guapa|babe|sweetheart|sous ta|all night|closing time|envie de te|encima del|auf dem schreibtisch)\b"), 1),
-    ("speaks_of", _is(r"\b(?:policy|staff may|education|clinic|insurance|pest control|invoice|surgery|medical|hateful remarks|sex (?:fe)?male|mistake in the form|direct debit|boiler|dog|training|museum|film|stew|recipe|vet)\b"), -1),
-    ("animals", _is(r"\b(?:dog|puppy|kennel|cat|vet|horse|mare|hen|cockerel)\b"), -1),
-    ("business", _is(r"\b(?:application|loan|payslip|bank statement|savings|interest|instalment|enclosed|approved|branch manager|bank|rent|employer|credit|kredit|antrag|zinssatz|nomina|prestamo|solicitud|demande|releve|fiche de paie|pret|thanks|thank you|please|bitte|danke|gracias|merci)\b"), -1),
+    ("insult", _any(" ".join(INSULTS.values())), 1),
+    ("sexual", _any(" ".join(SEXUAL.values())), 1),
+    ("lewd_request", _is(r"picture of you (?:naked|nude)|send .*nudes?|suck my|bend (?:her|you|him) over|love to (?:spank|lick|kiss)|lick (?:you|me)|touching (?:myself|yourself)|so horny|fuck (?:you|me|her|him) on|your panties|you (?:undressed|naked)|nacktfoto|foto desnuda|toute nue|follarte|te baiser|dich .*ficken"), 1),
+    ("group_vile", _is(rf"\b(?:{GROUPS})\b.*\b(?:{VILE})\b|\b(?:{VILE})\b.*\b(?:{GROUPS})\b"), 1),
+    ("group_judged", _is(rf"\b(?:{GROUPS})\b (?:are|is|sind|son|sont|should|gehoren|deberian|devraient)\b|\b(?:nobody needs|no one wants|get rid of|rid of all|too many|hate|those|these) (?:all )?(?:the )?(?:{GROUPS})\b"), 1),
+    ("threat", _is(r"\b(?:(?:smash|break|cut|slit|punch|burn) (?:her|his|your|the|down)|i know where you|you will regret|deserves? a (?:good )?beating|(?:shoot|kill|hurt|find|stab|strangle) you|come to your .* and|watch your back|ich weiss wo du|bring dich um|mach dich fertig|schlag dich|wirst es bereuen|casser la figure|te tuer|je sais ou tu|tu vas le regretter|se donde vives|te voy a|te mato|te vas a arrepentir|partirte la cara)\b"), 1),
+    ("death_wish", _is(r"\b(?:drop dead|hang yourself|get cancer|go die|kill yourself|nobody would miss|wish you were dead|hope you die|verreck|krepier|sollst sterben|crever|creve|te mueras|muerete)\b"), 1),
+    ("told_off", _is(r"\b(?:go to hell|shut up|crawl back|you disgust|disgusting|halt die|halt s maul|ferme ta|callate|vete al|va te faire|bunch of|you people are|ihr seid|espece d|pedazo de|own ass)\b"), 1),
+    ("you_are", _is(r"\b(?:you are an?|you're an?|du bist|sie sind ein|eres un|vous etes un|tu es un|what an?)\b"), 1),
+    ("lewd_address", _is(r"\b(?:your body|wearing under|hotel room|tonight|all night|babe|sweetheart|sexy|ma belle|guapa|susse|sous ta|envie de te|encima del|on your desk|your voice|bett|cama|lit)\b"), 1),
+    ("speaks_of", _is(r"\b(?:policy|complaints?|reported|staff|education|clinic|insurance|pest control|invoice|surgery|medical|remarks|hospital|study|museum|film|movie|novel|song|recipe|stew|garden|training|breeding|vet)\b"), -1),
+    ("animals", _is(r"\b(?:dogs?|puppy|puppies|kennel|cats?|horses?|mare|hens?|cockerel|cattle|farm)\b"), -1),
+    ("business", _is(r"\b(?:application|loan|payslip|bank statement|savings|interest|instalment|enclosed|approved|bank|rent|employer|credit|direct debit|kredit|antrag|zinssatz|nomina|prestamo|solicitud|demande|releve|fiche de paie|pret|thanks|thank you|please|bitte|danke|gracias|merci)\b"), -1),
 ]
 _CLEAN_AT = len(VOTERS)  # votes -1 where nothing above votes 1
 _REVIEW_AT = _CLEAN_AT + 1  # the reviewers
@@ -87,26 +83,24 @@ _LEET = str.maketrans("013457@$!", "oieastasi")
 
 def plain(s: str) -> str:
     """A segment as it sounds: lower case, no accents, look-alike letters, digits and symbols inside words as letters,
-    letters set apart joined, stretched letters shortened; numbers are 9."""
+    letters set apart joined (_ before them: they may belong to the word in front), stretched letters shortened; numbers are 9."""
     s = unicodedata.normalize("NFKD", s.lower().replace("ß", "ss")).translate(_LOOKALIKE)
     s = "".join(c for c in s if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
     s = re.sub(r"(?<=[a-z])[013457@$!]+(?=[a-z])|(?<=[a-z])[@$]+|\b[@$](?=[a-z])", lambda m: m[0].translate(_LEET), s)
     s = re.sub(r"\b([a-z]*?)[*#._]{1,3}(?=[a-z]{1,4}\b|[a-z]*ing\b)", lambda m: m[1] + ("uc" if m[1] == "f" else "i" if m[1] in ("b", "sh", "d") else "s" if m[1] == "as" else ""), s)
-    s = re.sub(r"\b(?:[a-z][ .\-]){2,}[a-z]\b", lambda m: re.sub(r"[ .\-]", "", m[0]), s)
+    s = re.sub(r"\b(?:[a-z][ .\-]){2,}[a-z]\b", lambda m: "_" + re.sub(r"[ .\-]", "", m[0]), s)
     s = re.sub(r"(?<=[a-z])[’'\-](?=[a-z])", lambda m: "" if m[0] == "-" else "'", s)
     s = re.sub(r"([a-z])\1{2,}", r"\1", s)
     s = re.sub(r"\d[\d.,:]*", "9", s)
-    return re.sub(r"[^a-z0-9']+", " ", s).strip()
+    s = re.sub(r"[^a-z0-9'_]+", " ", s.replace("__", " "))
+    return re.sub(r"(?<=\S)_|_(?=\s|$)", " ", s).strip()
 
 
 def votes(text: str, reviewed: int, flagged: float) -> list[int]:
     """The voters' votes on a plain text: 1 bad, -1 fine, 0 none. ``flagged`` of the ``reviewed`` documents with the segment were flagged."""
     short = re.sub(r"([a-z])\1+", r"\1", text)
-    out = [v if p.search(text) or (v > 0 and p.search(short)) else 0 for _, p, v in VOTERS]
-    if not any(v > 0 for v in out):
-        joined = short.replace(" ", "")
-        if any(re.sub(r"([a-z])\1+", r"\1", w) in joined for w in _STRONG if len(w) >= 7):
-            out[0] = 1
+    said = {x.replace("_", "") for x in (text, text.replace(" _", ""), short, short.replace(" _", ""))}
+    out = [v if any(p.search(x) for x in (said if v > 0 else said - {short})) else 0 for _, p, v in VOTERS]
     out.append(0 if any(v > 0 for v in out) else -1)
     share = flagged / reviewed if reviewed else 0
     named = any(v > 0 for v in out)
@@ -156,7 +150,7 @@ def posterior(patterns: np.ndarray, model) -> np.ndarray:
 
 def hashed(text: str) -> np.ndarray:
     """Feature numbers of a plain text's words, word pairs and pairs one apart."""
-    t = ["^", *text.split(" "), "$"]
+    t = ["^", *text.replace(" _", "").replace("_", "").split(" "), "$"]
     grams = {*t, *(f"{a} {b}" for a, b in zip(t, t[1:], strict=False)), *(f"{a} _ {b}" for a, b in zip(t, t[2:], strict=False))}
     return np.fromiter((zlib.crc32(g.encode()) % FEATURES for g in grams), np.int64, len(grams))
 
@@ -213,17 +207,17 @@ def _patterns(texts) -> np.ndarray:
 def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``doc_id``, ``h``) of every document's segments and (``h``, ``n``, ``score``) of every distinct segment. Writes tables.
 
-    Reads back vote patterns (``PATTERNS`` at most) and ``TRAIN_ROWS`` training segments.
+    Reads back all vote patterns, of which there are at most 3 * 2^13, and ``TRAIN_ROWS`` training segments.
     """
-    parts = docs.select("doc_id", F.explode(segments(F.col("text").cast("string"))).alias("segment")).withColumn("h", F.xxhash64("segment"))
+    parts = docs.select("doc_id", F.explode(segments(F.col("text").cast("string"))).alias("segment")).withColumn("h", F.unhex(F.md5("segment")))
     parts = written(parts, "segments")
     opinion = labels.where("flagged IS NOT NULL").groupBy("doc_id").agg(F.avg("flagged").alias("_f"))
     stats = parts.join(opinion, "doc_id").groupBy("h").agg(F.count("*").alias("reviewed"), F.sum("_f").alias("flagged"))
     kinds = parts.groupBy("h").agg(F.first("segment").alias("segment"), F.count("*").alias("n"))
     kinds = kinds.join(stats, "h", "left").select("h", "n", "segment", F.coalesce("reviewed", F.lit(0)).alias("reviewed"), F.coalesce("flagged", F.lit(0.0)).alias("flagged"))
-    voted = written(kinds.mapInPandas(_voted, "h bigint, n bigint, text string, votes string"), "votes")
+    voted = written(kinds.mapInPandas(_voted, "h binary, n bigint, text string, votes string"), "votes")
 
-    seen = voted.groupBy("votes").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "votes").limit(PATTERNS).toPandas()
+    seen = voted.groupBy("votes").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "votes").toPandas()
     if seen.empty:
         return parts.select("doc_id", "h"), voted.select("h", "n", F.lit(0.0).alias("score"))
     model = fit_label_model(_patterns(seen["votes"]), seen["k"].to_numpy())
@@ -235,10 +229,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fit, held = predict(pdf["text"].tolist(), weights), posterior(_patterns(pdf["votes"]), model)
-            yield pd.DataFrame({"h": pdf["h"], "n": pdf["n"], "score": np.where(pdf["text"] == "", 0.0, (fit + held) / 2)})
+            yield pd.DataFrame({"h": pdf["h"], "n": pdf["n"], "score": np.where(pdf["text"] == "", 0.0, predict(pdf["text"].tolist(), weights))})
 
-    return parts.select("doc_id", "h"), written(voted.mapInPandas(score, "h bigint, n bigint, score double"), "scores")
+    return parts.select("doc_id", "h"), written(voted.mapInPandas(score, "h binary, n bigint, score double"), "scores")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -262,3 +255,17 @@ def rates(docs: DataFrame, scores: DataFrame, threshold: float = THRESHOLD) -> D
     both = docs.select("doc_id", "source").join(scores, "doc_id")
     bad = F.sum((F.col("score") >= threshold).cast("bigint"))
     return both.groupBy("source").agg(F.count("*").alias("documents"), bad.alias("flagged"), (bad / F.count("*")).alias("rate"))
+
+
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``lang``, ``labelled``, ``flagged``, ``found``, ``both``: the scores held against labels that nothing was trained on.
+
+    The labels of a fifth of the labelled documents are kept from the voters; of these documents those
+    count whose reviewers agree. Recall is ``both`` / ``flagged``, precision ``both`` / ``found``.
+    """
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    got = scored(docs, labels.where(~held))
+    truth = labels.where(held & F.col("flagged").isNotNull()).groupBy("doc_id").agg(F.avg("flagged").alias("_f")).where("_f IN (0, 1)")
+    both = truth.join(docs.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id").join(got, "doc_id")
+    bad, hit = F.col("_f") == 1, F.col("score") >= threshold
+    return both.groupBy("lang").agg(F.count("*").alias("labelled"), F.count_if(bad).alias("flagged"), F.count_if(hit).alias("found"), F.count_if(bad & hit).alias("both"))

@@ -8,13 +8,17 @@ one row per task; it is full-outer-joined with just the buckets that it touches.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaryn.functions.text import bare
-from tessaryn.runtime import drop_path, scratch_path, written
+from tessaryn.runtime import drop_path, names_in, read_text, scratch_path, write_text, written
 
-BUCKETS = 32
+#: Keys that a bucket holds about; there are as many buckets as the ledger needs.
+BUCKET_ROWS = 500_000
 
 
 def canonical_key(fields: list[str], entries: dict[str, str]) -> Column:
@@ -34,38 +38,55 @@ def canonical_key(fields: list[str], entries: dict[str, str]) -> Column:
 
 
 class CopyLedger:
-    """Counts and earliest row of each canonical key, kept as one Parquet folder per bucket and version."""
+    """Counts and earliest row of each canonical key, one Parquet folder per bucket, listed in a manifest.
+
+    A ledger is opened again by its ``path``, in this session or a later one. Each batch writes the
+    buckets that it touches to a new folder and then a manifest that names the current folders;
+    whoever reads sees one manifest, and a batch that fails leaves the last one as it was. There are
+    as many buckets as keep about ``bucket_rows`` keys in each: their number doubles as the ledger
+    grows, so a small batch touches a small part of a large ledger. One writer at a time: the second
+    of two that add at once finds its manifest there and fails.
+    """
 
     SCHEMA = "key binary, n bigint, first_id bigint"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path or scratch_path(spark, "ledger"), buckets
-        self.version = 0
-        self.files: dict[int, str] = {}
+    def __init__(self, spark: SparkSession, path: str | None = None, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.bucket_rows = spark, path or scratch_path(spark, "ledger"), bucket_rows
+        known = [x for x in names_in(spark, f"{self.path}/manifests") if x.endswith(".json")] if path else []
+        state = json.loads(read_text(spark, f"{self.path}/manifests/{known[-1]}")) if known else {"version": 0, "buckets": 1, "rows": {}, "files": {}}
+        self.version, self.buckets = state["version"], state["buckets"]
+        self.rows, self.files = ({int(b): x for b, x in state[k].items()} for k in ("rows", "files"))
+
+    def _placed(self, df: DataFrame, buckets: int) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
     def add(self, batch: DataFrame) -> CopyLedger:
         """Count a batch (``key``, ``row_id``) in. Writes the touched buckets anew; the rest stay as they are."""
-        new = batch.groupBy("key").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"))
-        new = new.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
-        to = f"{self.path}/v{self.version}"
-        if self.files:
-            fresh = written(new, "batch_keys")
-            touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # at most ``buckets`` numbers
-            old = [self.files[b] for b in touched if b in self.files]
-            new = fresh
-            if old:
-                before = self.spark.read.schema(self.SCHEMA).parquet(*old).select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("first_id").alias("_first"))
-                new = fresh.join(before, F.col("key") == F.col("_key"), "full_outer").select(
-                    F.coalesce("key", "_key").alias("key"),
-                    (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"),
-                    F.least("first_id", "_first").alias("first_id"),
-                ).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
-        new.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(to)
-        for b in [r[0] for r in self.spark.read.parquet(to).select("bucket").distinct().collect()]:
-            if b in self.files:
-                drop_path(self.spark, self.files[b])
-            self.files[b] = f"{to}/bucket={b}"
-        self.version += 1
+        fresh = written(batch.groupBy("key").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id")), "batch_keys")
+        buckets = self.buckets
+        while (fresh.count() + sum(self.rows.values())) > buckets * self.bucket_rows:
+            buckets *= 2
+        touched = self.files  # all of them if their number changes
+        if buckets == self.buckets and self.files:
+            at = {r[0] for r in self._placed(fresh, buckets).select("bucket").distinct().collect()}  # at most one number per bucket
+            touched = {b: f for b, f in self.files.items() if b in at}
+        new = fresh
+        if touched:
+            before = self.spark.read.schema(self.SCHEMA).parquet(*touched.values()).select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("first_id").alias("_first"))
+            new = fresh.join(before, F.col("key") == F.col("_key"), "full_outer").select(
+                F.coalesce("key", "_key").alias("key"),
+                (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"),
+                F.least("first_id", "_first").alias("first_id"),
+            )
+        to = f"{self.path}/data/{uuid.uuid4().hex}"
+        self._placed(new, buckets).repartition("bucket", F.pmod(F.hash("key"), F.lit(4))).write.partitionBy("bucket").parquet(to)
+        sizes = {r[0]: r[1] for r in self.spark.read.parquet(to).groupBy("bucket").count().collect()} if new.head(1) else {}  # one row per bucket
+        files = {b: f for b, f in self.files.items() if b not in touched} | {b: f"{to}/bucket={b}" for b in sizes}
+        rows = {b: n for b, n in self.rows.items() if b in files} | sizes
+        write_text(self.spark, f"{self.path}/manifests/{self.version + 1:09d}.json", json.dumps({"version": self.version + 1, "buckets": buckets, "rows": rows, "files": files}))
+        self.version, self.buckets, self.rows, self.files = self.version + 1, buckets, rows, files
+        for f in touched.values():
+            drop_path(self.spark, f)
         return self
 
     def read(self) -> DataFrame:

@@ -3,8 +3,10 @@
 A mix is cut into ``SLOTS`` slots of equal token size. A source of weight w releases its k-th block
 at slot floor(k / w) and must have it placed by ceil((k + 1) / w); earliest deadline first on one
 processor meets all deadlines, so after every slot each source is within one block of its share.
-Schedules have a fixed number of slots; documents are tied to blocks by running sums of tokens
-taken per bucket, so no source is ever in one task.
+A block that a source cannot fill keeps its slot, in part or wholly idle: such sources are short.
+Schedules have a fixed number of slots, so a mix is met within one in ``SLOTS`` of its size whatever
+that is; documents are tied to blocks by running sums of tokens taken per bucket, so no source is
+ever in one task.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from pyspark.sql import functions as F
 
 from tessaryn.runtime import written
 
-#: Slots of a schedule, and buckets of a source's running sums: both fixed, whatever the data.
-SLOTS, BUCKETS = 5000, 4096
+#: Slots of a schedule: the precision of a mix, not a limit on its size. Bits of the hash that make the buckets of a source's running sums.
+SLOTS, BUCKET_BITS = 5000, 16
+#: Rows of the plan (sources of mixes times their repeats) that are broadcast at most; a larger plan is joined by shuffling.
+PLAN_ROWS = 100_000
+SCHEDULE = "mix_name string, source string, block bigint, slot bigint, need double, have double"
 
 
 def targets(mixes: DataFrame) -> DataFrame:
@@ -28,7 +33,7 @@ def targets(mixes: DataFrame) -> DataFrame:
     m = mixes.where("mix_name IS NOT NULL AND source IS NOT NULL").withColumn("_w", F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0)))
     all_of = F.sum("_w").over(W.partitionBy("mix_name"))
     share = F.when(all_of > 0, F.col("_w") / all_of).otherwise(0.0)
-    return m.select("mix_name", "source", (share * F.col("total_tokens")).alias("quota"), share.alias("share"), F.col("total_tokens"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"))
+    return m.select("mix_name", "source", (share * F.coalesce("total_tokens", F.lit(0))).alias("quota"), share.alias("share"), F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"))
 
 
 def supply(mixes: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -41,8 +46,13 @@ def supply(mixes: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def short_sources(mixes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``mix_name``, ``source`` of those whose quota is more than all their documents repeated ``max_repeats`` times."""
-    return supply(mixes, sizes).where(F.col("quota") > F.col("max_repeats") * F.col("supply")).select("mix_name", "source")
+    """``mix_name``, ``source`` of those that leave slots of the schedule idle, in part or wholly, and whose quota is
+    more than all their documents repeated ``max_repeats`` times."""
+    plan = written(supply(mixes, sizes), "mix_plan")
+    slots = plan.groupBy("mix_name").applyInPandas(_schedule, SCHEDULE)
+    idle = slots.where("have < need").select("mix_name", "source").distinct()
+    exact = plan.where(F.col("quota") > F.col("max_repeats") * F.col("supply")).select("mix_name", "source")
+    return idle.join(exact, ["mix_name", "source"], "left_semi")
 
 
 def pfair(weights: dict[str, float], blocks: dict[str, int], slots: int = SLOTS) -> list[tuple[str, int, int]]:
@@ -66,10 +76,12 @@ def pfair(weights: dict[str, float], blocks: dict[str, int], slots: int = SLOTS)
 def _schedule(pdf: pd.DataFrame) -> pd.DataFrame:
     mix, total = pdf["mix_name"].iloc[0], pdf["total_tokens"].iloc[0]
     size = max(total / SLOTS, 1e-9)
-    drawn = {s: min(q, r * h) for s, q, r, h in zip(pdf["source"], pdf["quota"], pdf["max_repeats"], pdf["supply"], strict=True)}
-    blocks = {s: math.ceil(d / size - 1e-9) for s, d in drawn.items()}
-    rows = pfair(dict(zip(pdf["source"], pdf["share"], strict=True)), blocks)
-    return pd.DataFrame([(mix, s, k, t) for s, k, t in rows], columns=["mix_name", "source", "block", "slot"])
+    pdf = pdf.groupby("source", as_index=False).agg({"quota": "sum", "share": "sum", "max_repeats": "max", "supply": "max"})
+    quota = dict(zip(pdf["source"], pdf["quota"], strict=True))
+    limit = {s: min(q, float(r) * h) for s, q, r, h in zip(pdf["source"], pdf["quota"], pdf["max_repeats"], pdf["supply"], strict=True)}
+    rows = pfair(dict(zip(pdf["source"], pdf["share"], strict=True)), {s: math.ceil(q / size - 1e-9) for s, q in quota.items()})
+    upto = lambda end, k: min(max(end - k * size, 0.0), size)
+    return pd.DataFrame([(mix, s, k, t, upto(quota[s], k), upto(limit[s], k)) for s, k, t in rows], columns=["mix_name", "source", "block", "slot", "need", "have"])
 
 
 def mixed(mixes: DataFrame, sizes: DataFrame, seed: int = 17) -> DataFrame:
@@ -78,14 +90,14 @@ def mixed(mixes: DataFrame, sizes: DataFrame, seed: int = 17) -> DataFrame:
     Documents of a source come in an order hashed from id and ``seed``; after the last one they start
     over, ``max_repeats`` times at most. A document is drawn if it starts before the source's quota,
     so a source overshoots by less than a document. Sources that are short leave their slots empty.
-    Documents without tokens, null sources and sources of no mix are not drawn. Document ids that
-    occur twice are two documents.
+    A source named twice in a mix has the sum of its quotas in the schedule. Documents without tokens,
+    null sources and sources of no mix are not drawn. Document ids that occur twice are two documents.
     """
     plan = written(supply(mixes, sizes), "mix_plan")
-    schedule = plan.groupBy("mix_name").applyInPandas(_schedule, "mix_name string, source string, block bigint, slot bigint")
+    schedule = plan.groupBy("mix_name").applyInPandas(_schedule, SCHEDULE).select("mix_name", "source", "block", "slot")
     wanted = plan.select("source").distinct()
     docs = sizes.where("tokens > 0").join(wanted, "source", "left_semi").withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
-    docs = docs.withColumn("_b", F.shiftrightunsigned("_h", 52).cast("int"))  # 4096 ranges of the hash
+    docs = docs.withColumn("_b", F.shiftrightunsigned("_h", 64 - BUCKET_BITS).cast("int"))  # ranges of the hash
     sums = docs.groupBy("source", "_b").agg(F.sum("tokens").alias("_sum"))
     sums = sums.select("source", "_b", (F.sum("_sum").over(W.partitionBy("source").orderBy("_b")) - F.col("_sum")).alias("_before"))
     inside = W.partitionBy("source", "_b").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -93,7 +105,8 @@ def mixed(mixes: DataFrame, sizes: DataFrame, seed: int = 17) -> DataFrame:
     docs = docs.select("source", "doc_id", "tokens", (F.col("_before") + F.col("_in")).alias("_at"))
     limit = F.least("quota", F.col("max_repeats") * F.col("supply"))
     rounds = plan.where("supply > 0").select("mix_name", "source", "supply", limit.alias("_limit"), (F.col("total_tokens") / SLOTS).alias("_size"), F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(limit / F.nullif("supply", F.lit(0))) - 1, F.lit(0)).cast("int"))).alias("repeat"))
-    drawn = docs.join(rounds, "source").withColumn("start", F.col("_at") + F.col("repeat") * F.col("supply")).where("start < _limit")
+    rounds = written(rounds, "mix_rounds")
+    drawn = docs.join(F.broadcast(rounds) if rounds.count() <= PLAN_ROWS else rounds, "source").withColumn("start", F.col("_at") + F.col("repeat") * F.col("supply")).where("start < _limit")
     drawn = drawn.withColumn("block", F.floor(F.col("start") / F.nullif("_size", F.lit(0.0))))
     return drawn.join(schedule, ["mix_name", "source", "block"], "left").select("mix_name", "slot", "source", "doc_id", "repeat", "start", "tokens")
 
@@ -103,3 +116,14 @@ def shares(mixes: DataFrame, sizes: DataFrame) -> DataFrame:
     drawn = mixed(mixes, sizes).groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), (F.max("repeat") + 1).alias("repeats"))
     out = targets(mixes).select("mix_name", "source", "quota", F.col("share").alias("target_share")).join(drawn, ["mix_name", "source"], "left").fillna(0, ["tokens", "documents", "repeats"])
     return out.withColumn("share", F.coalesce(F.col("tokens") / F.nullif(F.sum("tokens").over(W.partitionBy("mix_name")), F.lit(0)), F.lit(0.0)))
+
+
+def deviations(mixes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``mix_name``, ``source``, ``blocks``, ``most``: how many blocks a source is ahead of or behind its share of the slots so
+    far at most, over all slots of the schedule. Pfair keeps it under one."""
+    plan = written(supply(mixes, sizes), "mix_plan")
+    slots = plan.groupBy("mix_name").applyInPandas(_schedule, SCHEDULE)
+    weights = plan.groupBy("mix_name", "source").agg(F.sum("share").alias("share"))
+    placed = slots.join(weights, ["mix_name", "source"])
+    ahead, behind = F.col("block") + 1 - F.col("share") * (F.col("slot") + 1), F.col("share") * F.col("slot") - F.col("block")
+    return placed.groupBy("mix_name", "source").agg(F.count("*").alias("blocks"), F.max(F.greatest(ahead, behind)).alias("most"))

@@ -67,6 +67,11 @@ def p6_edges(spark: SparkSession, d: str) -> DataFrame:
     return survivors.learned_edges(written(_prepared(spark, d), "survivor_rows"), SURVIVOR_FIELDS)
 
 
+def p6_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The learned precedence held against groups whose instants were hidden from it."""
+    return survivors.evidence(written(_prepared(spark, d), "survivor_rows"), SURVIVOR_FIELDS)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encoded(table(spark, d, "documents"))
@@ -78,8 +83,7 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return tokens.token_counts(docs).join(docs.select("doc_id", "source"), "doc_id")
+    return tokens.token_counts(table(spark, d, "documents"), keep=("source",))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,6 +101,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "mix_targets"), written(_sizes(spark, d), "sizes"))
 
 
+def p9_deviations(spark: SparkSession, d: str) -> DataFrame:
+    """How far each source is ever from its share in the schedule, in blocks."""
+    return mixing.deviations(table(spark, d, "mix_targets"), written(_sizes(spark, d), "sizes"))
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of every document."""
     return content.scored(table(spark, d, "documents"), table(spark, d, "content_labels"))
@@ -112,5 +121,10 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return content.rates(table(spark, d, "documents"), p10_scores(spark, d))
 
 
-QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_currency": p6_currency, "p6_edges": p6_edges}
+def p10_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall on labels held out, by language."""
+    return content.quality(table(spark, d, "documents"), table(spark, d, "content_labels"))
+
+
+QUERIES = {"p10_quality": p10_quality, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p9_found": p9_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_deviations": p9_deviations, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_currency": p6_currency, "p6_edges": p6_edges, "p6_evidence": p6_evidence}
 SQL: dict[str, str] = {"p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

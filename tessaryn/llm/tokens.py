@@ -19,8 +19,8 @@ from tessaryn.runtime import scratch_path, written
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
-#: A word is hot if it makes up more than this share of all pre-tokens; so at most 1 / share words are broadcast.
-HOT_SHARE = 1 / 2000
+#: A word is hot if it makes up more than this share of all pre-tokens; so at most 1 / share words are broadcast, a few MB.
+HOT_SHARE = 1 / 40_000
 # The pre-token pattern of the byte-level vocabulary; letters, numbers and spaces as in Unicode.
 _S = r"[\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _NOT_S = _S.replace("[", "[^", 1)
@@ -71,6 +71,20 @@ class WordTable:
         return self
 
 
+def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_row`` (of its own for each row), id and ``_words`` of every text, written to the shared folder."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), pre_tokens(F.col(text_col).cast("string")).alias("_words"))
+    return written(rows, "pre_tokens")
+
+
+def _word_tables(rows: DataFrame, tokenizer: str, directory: str) -> tuple[DataFrame, DataFrame]:
+    """(hot, rare): ``word``, ``ids`` of the distinct words of ``_split`` rows. Words are counted before the shuffle, then each is encoded once."""
+    counts = written(rows.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "word_counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    table = WordTable(rows.sparkSession, tokenizer, directory).update(counts).read()
+    return table.where(F.col("n") > total * HOT_SHARE).select("word", "ids"), table.where(F.col("n") <= total * HOT_SHARE).select("word", "ids")  # hot: at most 1 / HOT_SHARE rows
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = BYTE_BPE, directory: str = TOKENIZERS) -> DataFrame:
     """``id_col``, ``ids``: the token ids of every text, without special tokens.
 
@@ -78,15 +92,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
     rows with equal ids of texts are kept apart by a row number of their own. One row of output is one
     text, so a text must fit a task; nothing else grows with the data in one place.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    rows = written(docs.select("_row", F.col(id_col), pre_tokens(F.col("_text")).alias("_words")), "pre_tokens")
+    rows = _split(docs, id_col, text_col)
+    hot, rare = _word_tables(rows, tokenizer, directory)
     parts = rows.select("_row", F.posexplode("_words").alias("pos", "word"))
-    counts = written(parts.groupBy("word").agg(F.count("*").alias("n")), "word_counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    table = WordTable(spark, tokenizer, directory).update(counts).read()
-    hot = table.where(F.col("n") > total * HOT_SHARE).select("word", "ids")  # at most 1 / HOT_SHARE rows
-    rare = table.where(F.col("n") <= total * HOT_SHARE).select("word", "ids")
     common = parts.join(F.broadcast(hot), "word").select("_row", "pos", "ids")
     others = parts.join(F.broadcast(hot.select("word")), "word", "left_anti").join(rare, "word").select("_row", "pos", "ids")
     placed = common.union(others)
@@ -117,18 +125,14 @@ def decoded(encoded_docs: DataFrame, tokenizer: str = BYTE_BPE, directory: str =
     return encoded_docs.select(id_col).join(whole, id_col, "left").select(id_col, F.coalesce(F.decode(F.unhex("_hex"), "UTF-8"), F.lit("")).alias("text"))
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = BYTE_BPE, directory: str = TOKENIZERS) -> DataFrame:
-    """``id_col``, ``tokens``: sizes of all texts, summed from distinct words' lengths without putting the texts together."""
-    spark = docs.sparkSession
-    parts = docs.select(F.col(id_col), F.explode(pre_tokens(F.col(text_col).cast("string"))).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("k"))
-    parts = written(parts, "doc_words")
-    counts = written(parts.groupBy("word").agg(F.sum("k").alias("n")), "word_counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    table = WordTable(spark, tokenizer, directory).update(counts).read().select("word", "n", F.size("ids").alias("len"))
-    hot = table.where(F.col("n") > total * HOT_SHARE).select("word", F.col("len").alias("hot_len"))  # at most 1 / HOT_SHARE rows
-    rare = table.where(F.col("n") <= total * HOT_SHARE).select("word", "len")
-    tagged = parts.join(F.broadcast(hot), "word", "left")
-    sums = tagged.where("hot_len IS NOT NULL").select(id_col, (F.col("k") * F.col("hot_len")).alias("t"))
-    sums = sums.union(tagged.where("hot_len IS NULL").join(rare, "word").select(id_col, (F.col("k") * F.col("len")).alias("t")))
-    sums = sums.groupBy(id_col).agg(F.sum("t").alias("tokens"))
-    return docs.select(id_col).distinct().join(sums, id_col, "left").select(id_col, F.coalesce("tokens", F.lit(0)).alias("tokens"))
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = BYTE_BPE, directory: str = TOKENIZERS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the columns ``keep`` and ``tokens`` of every row: its size, summed from the lengths of distinct words without
+    putting texts together. Hot words are summed where they stand; only rare ones are shuffled."""
+    docs = docs.select(F.struct(id_col, *keep).alias("_id"), F.col(text_col).alias("_text"))
+    rows = _split(docs, "_id", "_text")
+    hot, rare = _word_tables(rows, tokenizer, directory)
+    parts = rows.select("_row", F.explode("_words").alias("word")).join(F.broadcast(hot.select("word", F.size("ids").alias("len"))), "word", "left")
+    common = parts.where("len IS NOT NULL").groupBy("_row").agg(F.sum("len").alias("t"))
+    others = parts.where("len IS NULL").select("_row", "word").join(rare.select("word", F.size("ids").alias("len")), "word").groupBy("_row").agg(F.sum("len").alias("t"))
+    sums = common.union(others).groupBy("_row").agg(F.sum("t").alias("tokens"))
+    return rows.select("_row", "_id").join(sums, "_row", "left").select("_id.*", F.coalesce("tokens", F.lit(0)).alias("tokens"))

@@ -68,6 +68,36 @@ def test_copies_against_brute_force_and_ledger(spark):
     assert copies.surplus_copies(df.limit(0), "row", fields, entries).count() == 0
 
 
+def test_ledger_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    batch = lambda rows: spark.createDataFrame([(bytes([k]) * 16, i) for k, i in rows], "key binary, row_id bigint")
+    copies.CopyLedger(spark, path, bucket_rows=4).add(batch([(1, 5), (1, 3), (2, 9)]))
+    again = copies.CopyLedger(spark, path, bucket_rows=4)
+    assert again.version == 1 and sorted((r.key[0], r.n, r.first_id) for r in again.read().collect()) == [(1, 2, 3), (2, 1, 9)]
+    again.add(batch([(2, 4)])).add(batch([(k, 100 + k) for k in range(3, 20)]))
+    last = copies.CopyLedger(spark, path, bucket_rows=4)
+    assert last.buckets == 8 and last.version == 3 and sum(last.rows.values()) == 19
+    kept = dict(last.files)
+    last.add(batch([(7, 1)]))
+    assert sum(last.files[b] != f for b, f in kept.items()) == 1  # one key touches one bucket
+    got = {r.key[0]: (r.n, r.first_id) for r in copies.CopyLedger(spark, path, bucket_rows=4).read().collect()}
+    assert got == {1: (2, 3), 2: (2, 4), 7: (2, 1), **{k: (1, 100 + k) for k in range(3, 20) if k != 7}}
+    with pytest.raises(FileExistsError):
+        again.add(batch([(1, 1)]))  # another writer was faster
+    assert copies.CopyLedger(spark, f"file://{tmp_path}/new").add(batch([])).read().count() == 0
+
+
+def test_learned_order_on_hidden_instants(spark, sources):
+    rows = []
+    for g in range(400):  # 12 in front of abc in nine of ten groups, trust and row id say the reverse
+        first, last = ("12", "abc") if g % 10 else ("abc", "12")
+        rows += [(2 * g + 1, f"g{g}", "2024-01-01T00:00:00Z", "a", first), (2 * g, f"g{g}", "2024-01-02T00:00:00Z", "a", last)]
+    df = spark.createDataFrame(rows, "row bigint, app string, t string, s string, f string")
+    prep = survivors.written(survivors.prepared(df, sources, "app", "row", "t", "s", ["f"]), "t")
+    r = survivors.evidence(prep, ["f"]).first()
+    assert r.edges == 1 and r.n > 50 and r.decided > 0.8 * r.n and r.right > 0.8 * r.n > 0.2 * r.n > r.right_without
+
+
 def test_survivors(spark, sources):
     rows = [
         (1, "A-1", "2024-01-02T00:00:00Z", "b", "old", None), (2, "a1", "2024-01-03T00:00:00Z", "a", "new", "N/A"), (3, "a 1", None, "b", "undated", "x"), (4, "a1", None, "a", "u", "y"), (5, "b", None, None, "only", "one"),
@@ -114,11 +144,18 @@ def test_mixing(spark):
     sizes = spark.createDataFrame([(i, "big" if i < 90 else "small", 10) for i in range(100)] + [(200, None, 10), (201, "big", 0)], "doc_id bigint, source string, tokens bigint")
     mix = spark.createDataFrame([("m", 600, "big", 0.5, 1), ("m", 600, "small", 0.5, 3), ("n", 400, "small", 1.0, 3), ("n", 400, "none", 1.0, 3), ("o", 0, "big", 1.0, 1)], "mix_name string, total_tokens bigint, source string, target_weight double, max_repeats int")
     assert sorted(tuple(r) for r in mixing.short_sources(mix, sizes).collect()) == [("n", "none")]
+    assert all(r.most < 1 for r in mixing.deviations(mix, sizes).collect() if r.source != "none")
     drawn = mixing.mixed(mix, sizes)
     assert {(r.mix_name, r.source): (r.tokens, r.repeats) for r in mixing.shares(mix, sizes).collect()} == {("m", "big"): (300, 1), ("m", "small"): (300, 3), ("n", "small"): (200, 2), ("n", "none"): (0, 0), ("o", "big"): (0, 0)}
     assert drawn.groupBy("mix_name", "source", "doc_id", "repeat").count().where("count > 1").count() == 0 and drawn.where("slot IS NULL").count() == 0
 
 
+def test_set_apart_letters_join_their_own_word_only():
+    insult = lambda t: content.votes(content.plain(t), 0, 0)[0]
+    assert content.plain("du Volli d i o t!") == "du volli _diot" and insult("du Volli d i o t!") == insult("b a s t a r d") == insult("you b1tch") == 1
+    assert insult("Please push it head on over to the desk") == insult("a b c") == 0
+
+
 def test_content(spark):
     fine = ["Thank you for the loan.", "My savings stood at 12,000.", "Vermin damage is not covered by the home insurance.", "Kill the old direct debit, please.", "The dog, a bitch of four years, needs surgery.", "Staff may end a call when the caller is abusive."]
     bad = ["You are an idiot, all of you.", "Go\nto\nhell,\nyou\nmoron.", "You ... are ... a ... b1tch, ... all ... of ... you.", "Drop dead, nobody would miss you.", "Immigrants are rats, don't lend them a cent.", "Halt die Fresse, du Volli d i o t.", "Eres un id1ota y un hijo de puta.", "F u c k off, you scуmbag."]
