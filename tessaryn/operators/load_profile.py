@@ -25,9 +25,10 @@ FORMS = ["negative", "zero", "thousands", "hundreds", "dozens", "tens", "whole",
 CELLS = 1 + (BINS + 2) * len(FORMS)
 #: Rows of a load, and of all loads together, on which the model of all columns is fitted (expected numbers of a hashed sample).
 LOAD_ROWS, OTHER_ROWS = 300, 900
-#: A column is out of line if the classifier's AUC is at least this, and above the middle of all loads by so many spreads;
-#: or if its missing share, or that of a form of values, is off the middle by this much and so many standard errors.
-MIN_AUC, SPREADS, MIN_MISSING, MIN_FORM, ERRORS = 0.6, 4.5, 0.15, 0.25, 5.0
+#: A column is suspect if the classifier's AUC is at least this and above the middle of all loads by ``DOUBT`` spreads, and out of
+#: line if it is so by ``SPREADS`` of them. In small loads chance alone spreads the AUC widely; there a suspect column is out of line
+#: if its missing share, or that of a form of values, is off the middle by this much and so many standard errors.
+MIN_AUC, DOUBT, SPREADS, MIN_MISSING, MIN_FORM, ERRORS = 0.6, 1.0, 4.5, 0.15, 0.25, 5.0
 #: Or if this share of its values lies beyond the middle load's range by more than half of that range.
 MIN_OUTSIDE, MARGIN = 0.05, 0.5
 
@@ -208,10 +209,10 @@ def profile(df: DataFrame, table_name: str, load_col: str, columns: list[str], r
     out = out.join(middle, "col").withColumn("_dev", F.abs(F.col("auc") - F.col("_a")))
     spread = out.groupBy("col").agg((F.median("_dev") * 1.4826).alias("_s"))
     off = F.abs(F.col("missing") - F.col("middle_missing"))
-    by_auc = (F.col("auc") >= MIN_AUC) & (F.col("auc") >= F.col("_a") + SPREADS * F.col("_s"))
+    apart = lambda spreads: (F.col("auc") >= MIN_AUC) & (F.col("auc") >= F.col("_a") + spreads * F.col("_s"))
     by_missing = (off >= MIN_MISSING) & (off >= ERRORS * _error(F.col("middle_missing"), F.col("n_rows")))
-    found = by_auc | by_missing | (F.coalesce("form_shift", F.lit(0.0)) >= MIN_FORM)
-    found = found | ((F.col("outside") >= MIN_OUTSIDE) & (F.col("outside") * F.col("n_rows") >= 2))
+    exact = by_missing | (F.coalesce("form_shift", F.lit(0.0)) >= MIN_FORM) | ((F.col("outside") >= MIN_OUTSIDE) & (F.col("outside") * F.col("n_rows") >= 2))
+    found = apart(SPREADS) | (apart(DOUBT) & exact)
     names = F.array(*[F.lit(c) for c in columns])
     return out.join(spread, "col").select(
         F.lit(table_name).alias("table_name"), "load_id", names[F.col("col")].alias("column_name"), "n_rows", "missing", "n_distinct", "low", "high", "mean", "middle_missing", "auc", "joint_auc", "ablation", "form_shift", "outside", found.alias("found")
