@@ -34,7 +34,7 @@ ACCURACY, BELIEF = 0.9, 6.0
 
 # Words of abuse, slurs and obscenity, without accents, by language.
 INSULTS = {
-    "en": "idiot moron cretin imbecile scumbag bastard bitch asshole arsehole ahole aholes dumbass dickhead motherfucker fucker wanker twat prick cunt whore slut shithead bullshitter douchebag loser parasite clown jackass fuck fucking fvck fuk shit shits piece-of-shit scum",
+    "en": "idiot moron cretin imbecile scumbag bastard bitch asshole arsehole ahole aholes dumbass dickhead motherfucker fucker wanker twat prick cunt whore slut shithead bullshitter douchebag loser parasite clown jackass fuck fucking fucker fvck fuk phuck phuk shit shits piece-of-shit scum",
     "de": "arschloch vollidiot idiot drecksack wichser hurensohn schlampe fotze missgeburt abschaum dreckschwein schweine fresse verdammtes verreck gesindel untermenschen",
     "es": "idiota imbecil gilipollas cabron puta puto mierda inutil basura escoria zorra maricon pendejo hijoputa subnormal",
     "fr": "connard connasse salaud salauds ordure abruti pute fils-de-pute encule gueule imbecile salope batard raclure",
@@ -63,7 +63,7 @@ VOTERS: list[tuple[str, re.Pattern, int]] = [
     ("sexual", _any(" ".join(SEXUAL.values())), 1),
     ("lewd_request", _is(r"picture of you (?:naked|nude)|send .*nudes?|suck my|bend (?:her|you|him) over|love to (?:spank|lick|kiss)|lick (?:you|me)|touching (?:myself|yourself)|so horny|fuck (?:you|me|her|him) on|your panties|you (?:undressed|naked)|nacktfoto|foto desnuda|toute nue|follarte|te baiser|dich .*ficken"), 1),
     ("group_vile", _is(rf"\b(?:{GROUPS})\b.*\b(?:{VILE})\b|\b(?:{VILE})\b.*\b(?:{GROUPS})\b"), 1),
-    ("group_judged", _is(rf"\b(?:{GROUPS})\b (?:are|is|sind|son|sont|should|gehoren|deberian|devraient)\b|\b(?:nobody needs|no one wants|get rid of|rid of all|too many|hate|those|these) (?:all )?(?:the )?(?:{GROUPS})\b"), 1),
+    ("group_judged", _is(rf"\b(?:{GROUPS})\b (?:are|is|sind|son|sont|should|gehoren|deberian|devraient)\b|\b(?:nobody needs|no one wants|get rid of|rid of all|too many|hate|those|these) (?:all )?(?:the )?(?:{GROUPS})\b|\b(?:let|letting|allow|allowing|giving) (?:{GROUPS}) (?:to )?(?:in|vote|stay|work|drive|breed|have|own|marry)\b"), 1),
     ("threat", _is(r"\b(?:(?:smash|break|cut|slit|punch|burn) (?:her|his|your|the|down)|i know where you|you will regret|deserves? a (?:good )?beating|(?:shoot|kill|hurt|find|stab|strangle) you|come to your .* and|watch your back|ich weiss wo du|bring dich um|mach dich fertig|schlag dich|wirst es bereuen|casser la figure|te tuer|je sais ou tu|tu vas le regretter|se donde vives|te voy a|te mato|te vas a arrepentir|partirte la cara)\b"), 1),
     ("death_wish", _is(r"\b(?:drop dead|hang yourself|get cancer|go die|kill yourself|nobody would miss|wish you were dead|hope you die|verreck|krepier|sollst sterben|crever|creve|te mueras|muerete)\b"), 1),
     ("told_off", _is(r"\b(?:go to hell|shut up|crawl back|you disgust|disgusting|halt die|halt s maul|ferme ta|callate|vete al|va te faire|bunch of|you people are|ihr seid|espece d|pedazo de|own ass)\b"), 1),
