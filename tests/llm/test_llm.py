@@ -21,7 +21,24 @@ def test_name_rules():
     assert names.name_match(w("Theo Ballard"), w("Ballard, Theodore")) == 2 and names.name_match(w("S. Delhart"), w("Samuel Dehlart")) == 1
     assert names.name_match(w("Frances Samantha Wes"), w("Johannes Joseph Wes")) == 0 and names.name_match([], w("x y")) == 0
     assert names.date_match(["1990-03-04"], ["1990-04-03"]) == 2 and names.date_match(["1957-01-13"], ["1984-01-13"]) == -1 and names.date_match([], ["1984-01-13"]) == 0
-    assert names.distance("abcd", "abdc", 2) == 1 and names.distance("", "abc", 2) == 3
+    assert names.distance("abcd", "abdc", 2) == 1 and names.distance("", "abc", 2) == 3 and len(k := names._keys(["ted von ballard", "t ballard"], ["1990-03-04"], ["1", "2"])) == len(set(k))
+
+
+def test_distance_against_the_whole_table():
+    def whole(a, b):
+        t = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    t[i][j] = min(t[i][j], t[i - 2][j - 2] + 1)
+        return t[-1][-1]
+
+    rnd = random.Random(2)
+    for _ in range(5000):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(8))) for _ in "xy")
+        for most in (1, 2, 3):
+            assert names.distance(a, b, most) == min(whole(a, b), most + 1), (a, b)
 
 
 def test_linked_pairs(spark, sources):
@@ -36,6 +53,23 @@ def test_linked_pairs(spark, sources):
     assert names.linked(df.limit(0), sources, "id", "n", "d", "z", "app", "s").count() == 0
 
 
+def joined(pairs):
+    """The groups that pairs link."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    groups: dict = {}
+    for x in root:
+        groups.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, groups.values()))
+
+
 ENTITY = "entity bigint, names array<string>, dates array<string>, zips array<string>"
 
 
@@ -44,7 +78,8 @@ def test_hot_block_is_split(spark):
     rows.append((9999, [rows[5][1][0]], ["1970-01-01"], ["11111"]))
     e = spark.createDataFrame(rows, ENTITY)
     got = {(r.a, r.b) for r in names.matches(names.keys_of(e).withColumn("fresh", F.lit(True)), e).collect()}
-    assert (5, 9999) in got and got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and names.same(*a[1:], *b[1:])}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and names.same(*a[1:], *b[1:])}
+    assert (5, 9999) in got and got <= want and want - got <= {(a, b) for a, b in want if b == 9999}  # 5 stands for its equal
 
 
 def test_components(spark):
@@ -182,7 +217,9 @@ def test_hot_block_loses_no_agreeing_names(spark):
         names.CHUNK, before = chunk, names.CHUNK
         got = {(r.a, r.b) for r in names.matches(e.select(F.lit(1).cast("bigint").alias("key"), "entity", F.lit(True).alias("fresh")), e).collect()}
         names.CHUNK = before
-        assert got == want
+        assert got <= want and joined(got) == joined(want)
+        same = {1000, 2000, 2001, 2002}  # equal ones are linked to the first, which stands for all
+        assert {p for p in want if not same & set(p)} <= got and {p for p in want if 1000 in p} <= got
 
 
 def test_name_keys_cover_name_match():
@@ -205,7 +242,7 @@ def test_slipped_dates_and_zips_share_a_key(spark, sources):
     assert [(a, b) for a in dates for b in dates if names.date_match([a], [b]) == 1 and not names._parts(a) & names._parts(b)] == []
     zips = ["80396", "80369", "80397", "08396", "80390", None]
     facts = [([n], d, z) for n in ("ravelin wexmoor", "wexmoor raveling", "r wexmoor", "ted wexmoor ravelin", "theodore wexmor") for d in [*dates[:11], None] for z in zips] + [(["bo li"], "1973-01-24", z) for z in zips]
-    own = [(x, names._keys(*x)) for x in (([*n], [d] if d else [], [z] if z else []) for n, d, z in facts)]
+    own = [(x, set(names._keys(*x))) for x in (([*n], [d] if d else [], [z] if z else []) for n, d, z in facts)]
     assert [(x, y) for x, k in own for y, l in own if names.same(*x, *y) and not k & l] == []
     assert sum(names.same(*x, *y) > 0 for x, _ in own for y, _ in own) > 10_000
     rows = [(0, "a1", "Ravelin & Wexmoor Electrical", "1973-01-24", None), (1, "a2", "Wexmoor & Ravelin Electrical", "1973-01-25", "80396"), (2, "b1", "Ann Gatwick", "1980-05-05", "10001"), (3, "b2", "Gatwick, Ann", "1980-05-06", "10002"), (4, "c1", "Bo Li", "1960-01-01", "20001"), (5, "c2", "Li, Bo", "1960-01-01", "39999")]
