@@ -181,7 +181,7 @@ def predict(texts: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 #: (pattern, replacement) before cutting: words set apart by dots or one to a line are joined, numbers are 9.
-_JOIN = [(r"\s+(?:\.\.\.|…)\s+", " "), (r"(?<=\S)\n(?=\S{1,30}(?:\n|\z))|(?<=\n\S{1,30})\n(?=\S)", " "), (r"(?<![\p{L}\d])\d(?:[\d.,:/-]*\d)?", "9")]
+_JOIN = [(r"\s+(?:\.\.\.|…)\s+", " "), (r"\n(?:(?<=\S\n)(?=\S{1,30}(?:\n|\z))|(?<=\n\S{1,30}\n)(?=\S))", " "), (r"(?<![\p{L}\d])\d(?:[\d.,:/-]*\d)?", "9")]
 _CUT = r"(?<=[.!?…])\s+|[\r\n\u2028\u2029]+|(?<=:)\s(?=[A-ZÄÖÜÉ])"
 _MARK = r"(?i)^\s*(?:[-*>•]+\s*|(?:agent|client):\s*)*"
 
