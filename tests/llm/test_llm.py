@@ -1,6 +1,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,36 @@ def test_merging_goes_on_until_nothing_merges(spark):
     assert {got[i] for i in range(len(rows) - 4)} == {0} and len({got[i] for i in range(len(rows) - 4, len(rows))}) == 1
     with pytest.raises(RuntimeError, match="still merge"):
         names.resolve(prof, 1)
+
+
+def test_sketches_keep_what_matches_and_little_else():
+    rnd = random.Random(11)
+    given, family = ["samuel", "sam", "theodore", "ted", "frankie", "frances", "phillip", "ann", "kit", "christopher", "o"], ["ballard", "barney", "holonford", "vandenberg", "wexmoor", "li", "delhart", "ostrick", "frankieson"]
+    entities = []
+    for i in range(1200):
+        n = [rnd.choice(given), *([rnd.choice(given)[:1]] if rnd.random() < 0.2 else []), *rnd.sample(family, rnd.choice([0, 1, 1, 1, 2])), *([names.YOUNGER] if rnd.random() < 0.05 else [])]
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            k = rnd.randrange(len(n))
+            w, at = n[k], rnd.randrange(len(n[k]))
+            n[k] = rnd.choice([w[:at] + "x" + w[at:], w[:at] + w[at + 1 :], w[:at] + "q" + w[at + 1 :], w[:at] + w[at + 1 : at + 2] + w[at : at + 1] + w[at + 2 :], w[:1], w.replace("rn", "m")]) or w
+        rnd.shuffle(n)
+        if rnd.random() < 0.1:
+            n = ["".join(n)]
+        dates = rnd.sample(["1973-01-24", "1973-01-25", "1973-02-02", "1973-01-28", "1983-01-24", "1974-01-24", "1963-01-24", "1990-03-04", "1990-04-03"], rnd.choice([0, 1, 1, 1, 1, 1, 2]))
+        entities.append((i, [" ".join(n)], dates, rnd.sample(["80396", "80369", "80397", "08396", "11111"], rnd.choice([0, 1, 1, 1, 2]))))
+    sketched = [(1, e[0], *names._name_sketch(e[1][0]), names._day_sketch(e[2]), names._place_sketch(e[3]), True) for e in entities]
+    block = pd.DataFrame(sketched, columns=["key", "entity", *names.SKETCH, "fresh"])
+    want = {(a[0], b[0]) for a in entities for b in entities if a[0] < b[0] and names.same(*a[1:], *b[1:])}
+    names.BLOCK_LIMIT, before = len(entities), names.BLOCK_LIMIT
+    try:
+        got = [p for d in names._paired(iter([block[:500], block[500:501], block[501:]])) for p in zip(d["a"], d["b"], d["big"], strict=True)]
+        names.BLOCK_LIMIT = 700
+        over = pd.concat(names._paired(iter([block[:500], block[500:900], block[900:], block.assign(key=2)[:2]])))
+    finally:
+        names.BLOCK_LIMIT = before
+    assert len(want) > 5000 and want <= {(a, b) for a, b, _ in got} and not any(big for *_, big in got)
+    assert [(r.a, r.b) for r in over.itertuples() if r.big] == [(1, 1200)]
+    # one date, one given name, other family names: before, all 499 500 pairs of such a block were judged
+    syllables = ["bal", "dor", "fen", "gim", "hux", "kov", "lun", "pry", "sten", "tam", "vor", "wick"]
+    people = [(7, i, *names._name_sketch("samuel " + "".join(rnd.sample(syllables, 3))), names._day_sketch(["1973-01-24"]), names._place_sketch([f"{rnd.randrange(100000):05d}"]), True) for i in range(1000)]
+    assert sum(len(d) for d in names._paired(iter([pd.DataFrame(people, columns=block.columns)]))) < 100_000
