@@ -5,13 +5,14 @@ its form (negative, zero, round, number of decimals). Exact counts of cells by l
 all that is shuffled. For every load a logistic regression learns on four fifths of a column's cells
 to tell the load from the others; how well it does on the rest, cross-fitted, is how far the
 column's profile departs, in missing share, range, form or distribution alike. A second model sees
-all columns of a bounded sample of rows and is refitted without each column: what it loses is what
-that column alone tells.
+all columns of all rows, as sums of products of their features by load and half, and is refitted
+without each column: what it loses is what that column alone tells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erf, sqrt
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,8 @@ from tessaryn.runtime import written
 BINS, FOLDS = 16, 5
 FORMS = ["negative", "zero", "thousands", "hundreds", "dozens", "tens", "whole", "one_decimal", "two_decimals", "more_decimals"]
 CELLS = 1 + (BINS + 2) * len(FORMS)
-#: Rows of a load, and of all loads together, on which the model of all columns is fitted (expected numbers of a hashed sample).
-LOAD_ROWS, OTHER_ROWS = 300, 900
+#: Rows whose features are held at once.
+CHUNK = 50_000
 #: A column is suspect if the classifier's AUC is at least this and above the middle of all loads by ``DOUBT`` spreads, and out of
 #: line if it is so by ``SPREADS`` of them. In small loads chance alone spreads the AUC widely; there a suspect column is out of line
 #: if its missing share, or that of a form of values, is off the middle by this much and so many standard errors.
@@ -119,15 +120,26 @@ def column_auc(own: np.ndarray, others: np.ndarray) -> float:
     return auc(s, np.concatenate(pos), np.concatenate(neg))
 
 
-def _joint_auc(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
-    score = np.zeros(len(y))
-    for f in (0, 1):
-        train, test = fold % 2 != f, fold % 2 == f
-        if y[train].sum() == 0 or (1 - y[train]).sum() == 0:
-            return 0.5
-        w = np.where(y[train] == 1, 0.5 / y[train].mean(), 0.5 / (1 - y[train]).mean())
-        score[test] = x[test] @ fit_logistic(x[train], y[train], w, steps=4)[:-1]
-    return auc(score, y, 1 - y)
+def _moment_auc(own: np.ndarray, others: np.ndarray, keep: np.ndarray, ridge: float = 2.0) -> float:
+    """Cross-fitted AUC of a linear model of all columns, from nothing but sums over all rows.
+
+    ``own`` and ``others`` are half by feature by feature: sums of products of the features ``keep``, the last of which is
+    1. The model is the first Newton step of the logistic regression, both sides weighing the same; the AUC is
+    that of normal scores with the mean and spread that its scores have in the other half.
+    """
+    own, others = own[:, keep][:, :, keep], others[:, keep][:, :, keep]
+    size_own, size_others = own[:, -1, -1], others[:, -1, -1]
+    if min(size_own.min(), size_others.min()) <= 0:
+        return 0.5
+    penalty = np.diag(np.r_[np.full(own.shape[1] - 1, ridge), 1e-6])
+    own, others, total = own / size_own[:, None, None], others / size_others[:, None, None], 0.0
+    for test in (0, 1):
+        a, b = own[1 - test], others[1 - test]
+        weight = (size_own[1 - test] + size_others[1 - test]) / 2
+        beta = np.linalg.solve(weight * (a + b) / 4 + penalty, weight * (a[-1] - b[-1]) / 2)[:-1]
+        (m, v), (n, w) = ((x[-1, :-1] @ beta, max(beta @ (x[:-1, :-1] - np.outer(x[-1, :-1], x[-1, :-1])) @ beta, 0)) for x in (own[test], others[test]))
+        total += size_own[test] * (1 + erf((m - n) / sqrt(2 * (v + w) + 1e-12))) / 2
+    return float(total / size_own.sum())
 
 
 def _coarse(cells: np.ndarray) -> np.ndarray:
@@ -136,6 +148,16 @@ def _coarse(cells: np.ndarray) -> np.ndarray:
     return np.column_stack([x[:, :3], ranges.reshape(len(x), -1, 3).sum(2), x[:, 3 + BINS + 2 :]])
 
 
+def _moments(cells: pd.DataFrame, picks: list[str]) -> np.ndarray:
+    """Half by feature by feature: sums of products of the features of all columns and 1, rows counted ``n`` times."""
+    out = 0.0
+    for at in range(0, max(len(cells), 1), CHUNK):
+        part = cells.iloc[at : at + CHUNK]
+        x, n = np.column_stack([*(_coarse(part[c].to_numpy()) for c in picks), np.ones(len(part))]), part["n"].to_numpy()
+        out = out + np.stack([(x * (n * (part["half"].to_numpy() == h))[:, None]).T @ x for h in (0, 1)])
+    return out
+
+
 def _error(share: Column, n: Column) -> Column:
     """Standard error of a share among ``n``, not quite 0 for shares of 0 and 1."""
     return F.sqrt((share + 1 / n) * (1 - share + 1 / n) / n)
@@ -152,7 +174,7 @@ def profile(df: DataFrame, table_name: str, load_col: str, columns: list[str], r
     their cell; an empty table gives no rows. ``row_hash`` spreads rows over folds; equal rows share one.
     """
     d = df.where(F.col(load_col).isNotNull()).select(
-        F.col(load_col).cast("string").alias("load_id"), F.pmod(row_hash, F.lit(FOLDS)).cast("int").alias("fold"), row_hash.alias("_hash"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(columns)]
+        F.col(load_col).cast("string").alias("load_id"), F.pmod(row_hash, F.lit(FOLDS)).cast("int").alias("fold"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(columns)]
     )
     edges = _edges(d, [f"v{i}" for i in range(len(columns))])
     cells = d.withColumns({f"c{i}": cell_of(F.col(f"v{i}"), edges[f"v{i}"]) for i in range(len(columns))})
@@ -182,10 +204,16 @@ def profile(df: DataFrame, table_name: str, load_col: str, columns: list[str], r
     outside = values.join(fence, "col").groupBy("load_id", "col").agg((F.sum(F.when(beyond, n).otherwise(0)) / F.sum("n")).alias("outside"))
 
     picks = [f"c{i}" for i in range(len(columns))]
-    u = F.abs(F.xxhash64("_hash", F.lit(5))) / F.lit(2.0**63)
-    total = int(sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0])
-    pool = cells.where(u < OTHER_ROWS / max(total, 1)).select("load_id", "fold", *picks).toPandas() if len(columns) > 1 else None  # OTHER_ROWS rows, give or take
-    rows = cells.join(sizes, "load_id").where(u < F.lit(float(LOAD_ROWS)) / F.col("_size")).select("load_id", "fold", *picks) if len(columns) > 1 else cells.select("load_id", "fold", *picks).limit(0)
+    joint = cells.groupBy("load_id", (F.col("fold") % 2).alias("half"), *picks).agg(F.count("*").alias("n"))
+    joint = written(joint if len(columns) > 1 else joint.limit(0), "joint_cells")
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum(_moments(pdf, picks) for pdf in batches)
+        if np.ndim(total):
+            yield pd.DataFrame({"at": np.arange(total.size), "value": total.ravel()})
+
+    sums = joint.drop("load_id").mapInPandas(summed, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # two halves of features * features numbers
+    everyone = sums.sort_values("at")["value"].to_numpy()
 
     def judge(own: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
         load = own["load_id"].iloc[0] if len(own) else sample["load_id"].iloc[0]
@@ -194,16 +222,16 @@ def profile(df: DataFrame, table_name: str, load_col: str, columns: list[str], r
         size = count[0].sum()
         alone = [column_auc(count[i], np.maximum(others[i] - count[i] / max(size, 1), 0)) for i in range(len(columns))]
         joint, lost = None, [None] * len(columns)
-        if pool is not None and len(sample) > 1:
-            rest = pool[pool["load_id"] != load]
-            both = pd.concat([sample, rest])
-            y = np.r_[np.ones(len(sample)), np.zeros(len(rest))]
-            fold, x = both["fold"].to_numpy(), [_coarse(both[c].to_numpy()) for c in picks]
-            joint = _joint_auc(np.column_stack(x), y, fold)
-            lost = [joint - _joint_auc(np.column_stack([b for j, b in enumerate(x) if j != i]), y, fold) for i in range(len(columns))]
+        if len(sample):
+            mine = _moments(sample, picks)
+            rest, wide = everyone.reshape(mine.shape) - mine, (mine.shape[1] - 1) // len(columns)
+            of = np.r_[np.repeat(np.arange(len(columns)), wide), -1]  # the column of each feature
+            joint_of = lambda without: _moment_auc(mine, rest, np.flatnonzero(of != without))
+            joint = joint_of(len(columns))
+            lost = [joint - joint_of(i) for i in range(len(columns))]
         return pd.DataFrame({"load_id": load, "col": range(len(columns)), "auc": alone, "joint_auc": joint, "ablation": lost}).astype({"joint_auc": float, "ablation": float})
 
-    tested = counts.groupBy("load_id").cogroup(rows.groupBy("load_id")).applyInPandas(judge, "load_id string, col int, auc double, joint_auc double, ablation double")
+    tested = counts.groupBy("load_id").cogroup(joint.groupBy("load_id")).applyInPandas(judge, "load_id string, col int, auc double, joint_auc double, ablation double")
     out = written(base.join(tested, ["load_id", "col"]).join(strange, ["load_id", "col"]).join(outside, ["load_id", "col"]), "profiles")
     middle = out.groupBy("col").agg(F.median("auc").alias("_a"), F.median("missing").alias("middle_missing"))
     out = out.join(middle, "col").withColumn("_dev", F.abs(F.col("auc") - F.col("_a")))

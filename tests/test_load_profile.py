@@ -38,3 +38,12 @@ def test_measures():
     assert fit_logistic(np.vstack([x, x]), np.array([1, 1, 0, 0.0]), np.array([1, 9, 9, 1.0]), ridge=1e-6)[0] > 3
     same = np.ones((5, 181))
     assert abs(column_auc(same, same) - 0.5) < 0.02
+
+
+def test_joint_model_sees_every_row(spark):
+    df = make(spark, {1: lambda a, b: (1 - a, b), 7: lambda a, b: (a, b * 100)})
+    # the same folds, but other hashes: a hashed sample would be another
+    one, two = ({(r.load_id, r.column_name): (r.joint_auc, r.ablation) for r in profile(df, "t", "load", ["a", "b"], F.col("id") + k).collect()} for k in (0, 1000))
+    assert all(abs(x - y) < 1e-6 for k in one for x, y in zip(one[k], two[k], strict=True))
+    assert one["L01", "a"][0] > 0.7 and one["L01", "a"][1] > 0.1 > abs(one["L01", "b"][1]) and one["L07", "b"][1] > 0.1
+    assert 0.35 < one["L00", "a"][0] < 0.65
